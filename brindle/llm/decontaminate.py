@@ -51,30 +51,25 @@ def limits(size: int, window: int = WINDOW, rate: float = RATE) -> tuple[int, in
     return w, edits, w - Q + 1 - Q * edits
 
 
-def banded(pattern: bytes, text: bytes, edits: int) -> int:
-    """Least edits between the pattern and any part of text; edits + 1 if it is more. text spans the band: len(pattern) + 2 * edits at most and a bit.
+def banded(patterns: np.ndarray, texts: np.ndarray, edits: int) -> np.ndarray:
+    """For each row, the least edits between the whole pattern and any part of the text; edits + 1 if it is more.
 
-    Cells beyond the band |column - row - edits| <= 2 * edits can't hold a value in the budget, as the part starts within it.
+    patterns (rows, m), texts (rows, n), n >= m. Cells of the band: the part starts at 0 to n - m and drifts by `edits` at most.
     """
-    m, n = len(pattern), len(text)
-    p, t = np.frombuffer(pattern, np.uint8), np.frombuffer(text, np.uint8)
-    width = n - m + 2 * edits + 1 if n > m else 2 * edits + 1
-    # column of cell c in row r: r + c - edits
-    big = m + n + 1
-    cols = np.arange(width) - edits
-    row = np.where((cols >= 0) & (cols <= n), 0, big)
-    steps = np.arange(width)
+    (rows, m), n = patterns.shape, texts.shape[1]
+    width = n - m + 2 * edits + 1
+    big, steps = m + n + 1, np.arange(width)
+    cols = steps - edits  # column of a cell in row 0; one more in each row
+    row = np.broadcast_to(np.where((cols >= 0) & (cols <= n), 0, big), (rows, width)).astype(np.int32)
+    edge = np.full((rows, 1), big, np.int32)
     for r in range(1, m + 1):
         col = cols + r
-        inside = (col >= 0) & (col <= n)
-        same = np.zeros(width, bool)
-        ok = (col >= 1) & (col <= n)
-        same[ok] = t[col[ok] - 1] == p[r - 1]
-        new = np.minimum(np.where(ok, row + ~same, big), np.r_[row[1:], big] + 1)
-        # insertions: along the row
-        new = np.minimum.accumulate(new - steps) + steps
-        row = np.where(inside, new, big)
-    return int(min(row.min(initial=big), edits + 1))
+        inside, taken = (col >= 0) & (col <= n), (col >= 1) & (col <= n)
+        differ = texts[:, np.clip(col - 1, 0, n - 1)] != patterns[:, r - 1 : r]
+        new = np.minimum(np.where(taken, row + differ, big), np.concatenate([row[:, 1:], edge], axis=1) + 1)
+        new = np.minimum.accumulate(new - steps, axis=1) + steps
+        row = np.where(inside, new, big).astype(np.int32)
+    return np.minimum(row.min(axis=1), edits + 1)
 
 
 class Index:
@@ -135,10 +130,8 @@ class Index:
         cuts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > self.span)])
         for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)]):
             k = int(item[s])
-            window, edits, least = self.limits[k]
-            if e - s < least:
-                continue
-            self._verify(k, data, pos[s:e], place[s:e], found.setdefault(k, []))
+            if e - s >= self.limits[k][2]:
+                self._verify(k, data, pos[s:e], place[s:e], found.setdefault(k, []))
         out = []
         for k, spans in found.items():
             spans.sort()
@@ -152,29 +145,59 @@ class Index:
         return sorted(out)
 
     def _verify(self, k: int, data: bytes, pos: np.ndarray, place: np.ndarray, spans: list[list[int]]) -> None:
-        """Aligns every window of the item that a run of hits can belong to; a window that matches settles those it overlaps in the text."""
+        """Aligns the windows of an item that a run of hits of one band can belong to."""
         item, (window, edits, least) = self.items[k][1], self.limits[k]
-        lo, hi = int(place.min()), int(place.max())
-        tried = None
-        for w in range(max(0, lo - window + Q), min(hi, len(item) - window) + 1):
-            inside = (place >= w) & (place <= w + window - Q)
-            if int(inside.sum()) < least:
-                continue
-            shift = pos[inside] - place[inside]
-            key = (w, int(shift.min()), int(shift.max()))
-            if tried and w < tried:
-                continue
-            a = max(0, w + key[1] - edits)
-            b = min(len(data), w + window + key[2] + edits)
-            pattern, part = item[w : w + window], data[a:b]
-            exact = part.find(pattern)
-            if exact >= 0:
-                spans.append([a + exact, a + exact + window, 0])
-            elif (d := banded(pattern, part, edits)) <= edits:
-                spans.append([a, b, d])
-            else:
-                continue
-            tried = w + window // 2  # the next windows overlap this one
+        first, last = max(0, int(place.min()) - window + Q), min(int(place.max()), len(item) - window)
+        w = np.arange(first, last + 1)
+        w = w[_shared(np.unique(place), w, window - Q) >= least]
+        if not len(w):
+            return
+        # windows with few enough substitutions on the run's main diagonal need no alignment, nor do windows that overlap them there
+        diagonals, counts = np.unique(pos - place, return_counts=True)
+        main = int(diagonals[counts.argmax()])
+        lo, hi = max(0, -main), min(len(item), len(data) - main)
+        if hi - lo >= window:
+            differ = np.r_[0, np.cumsum(np.frombuffer(item[lo:hi], np.uint8) != np.frombuffer(data[lo + main : hi + main], np.uint8))]
+            inside = w[(w >= lo) & (w <= hi - window)]
+            changed = differ[inside - lo + window] - differ[inside - lo]
+            good = inside[changed <= edits]
+            if len(good):
+                cuts = np.flatnonzero(np.r_[True, np.diff(good) > window])
+                for x, y in zip(cuts, np.r_[cuts[1:], len(good)] - 1):
+                    spans.append([int(good[x]) + main, int(good[y]) + window + main, int(changed[changed <= edits][x : y + 1].min())])
+                near = np.searchsorted(good, w)
+                left, right = good[np.maximum(near - 1, 0)], good[np.minimum(near, len(good) - 1)]
+                w = w[(np.abs(w - left) >= window) & (np.abs(w - right) >= window)]
+        if not len(w):
+            return
+        # the lemma again with short grams, which far fewer windows pass by chance
+        low, high = int((pos - place).min()) - edits, int((pos - place).max()) + edits
+        a = max(0, int(w[0]) + low)
+        part = _short(data[a : int(w[-1]) + window + high])
+        own = _short(item)
+        w = w[_shared(np.flatnonzero(np.isin(own, part)), w, window - _SHORT) >= window - _SHORT + 1 - _SHORT * edits]
+        n = window + high - low
+        for i in range(0, len(w), 512):
+            some = w[i : i + 512]
+            patterns = np.frombuffer(item, np.uint8)[some[:, None] + np.arange(window)]
+            at = some[:, None] + low + np.arange(n)
+            text = np.frombuffer(data, np.uint8)
+            texts = np.where((at >= 0) & (at < len(text)), text[np.clip(at, 0, len(text) - 1)], 0)  # 0 isn't in canonical texts of items
+            edited = banded(patterns, texts, edits)
+            spans += [[max(0, x + low + edits), min(len(data), x + window + high - edits), int(d)] for x, d in zip(some.tolist(), edited) if d <= edits]
+
+
+_SHORT = 4
+
+
+def _short(data: bytes) -> np.ndarray:
+    n = len(data) - _SHORT + 1
+    return np.ndarray((n,), "<u4", data, strides=(1,)).copy() if n > 0 else np.zeros(0, np.uint32)
+
+
+def _shared(places: np.ndarray, windows: np.ndarray, span: int) -> np.ndarray:
+    """How many of the sorted places lie in [w, w + span] for each w."""
+    return np.searchsorted(places, windows + span, "right") - np.searchsorted(places, windows)
 
 
 def _dense(at: np.ndarray, least: int, span: int) -> np.ndarray:
