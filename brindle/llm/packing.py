@@ -16,10 +16,14 @@ give pieces. Texts of any length are encoded whole. Other columns are ignored. N
 
 from __future__ import annotations
 
+import base64
 import os
+import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,11 @@ from pyspark.sql import functions as F
 from brindle.llm.common import buckets_for, cut, running, table
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 1
 WINDOW = 2048
 #: Words whose ids a worker keeps at most; beyond, it starts afresh.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 700_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,88 +46,128 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Places(dict):
+    """Place of each word's ids; a word that is new gets the next one, a word that can't stand alone ODD."""
+
+    ODD = -1
+
+    def __init__(self, encoder: Encoder, before: str) -> None:
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, word: str) -> int:
+        odd = not word or word[-1].isspace() or (self.before and word[0].isspace())
+        place = self.ODD if odd else self.encoder.later(self.before + word)
+        self[word] = place
+        return place
+
+
 class Encoder:
-    """ids of texts, word by word. A byte-level vocabulary whose pattern takes a space with the word after it is needed."""
+    """ids of texts, word by word. A byte-level vocabulary whose pattern takes a space with the word after it is needed.
 
-    def __init__(self, path: str) -> None:
+    fast_path names the same vocabulary as ranks, which is quicker for words of Latin letters and ASCII; others, and all words
+    if there is none, are left to the tokenizer itself.
+    """
+
+    def __init__(self, path: str, fast_path: str | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.fast = Tokenizer.from_file(path), None
+        if fast_path:
+            import public_tokenizers
+            import tiktoken
+
+            with open(fast_path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._reset()
 
     def _reset(self) -> None:
-        # place of each word (with the space before it; without, for first words); entry 0 is the end id
-        self.at: dict[str | tuple[str], int] = {}
-        self.first: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    @staticmethod
-    def _words(text: str) -> list[str | tuple[str]]:
-        """Cuts before single spaces between characters other than white space; a part with white space at an end as a 1-tuple."""
+        # entry 0 is the end id
+        self.at, self.first, self.parts = _Places(self, " "), _Places(self, ""), {}
+        self.flat, self.starts, self.lengths, self.pending = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64), []
+
+    def later(self, text: str) -> int:
+        self.pending.append(text)
+        return len(self.lengths) + len(self.pending) - 1
+
+    def _learn(self) -> None:
+        if not self.pending:
+            return
+        ids: list = [None] * len(self.pending)
+        slow = range(len(ids))
+        if self.fast:
+            quick = self.fast.encode_ordinary
+            slow = []
+            for i, text in enumerate(self.pending):
+                if _LATIN(text) and "<|" not in text:
+                    ids[i] = quick(text)
+                else:
+                    slow.append(i)
+        for i, e in zip(slow, self.tokenizer.encode_batch_fast([self.pending[i] for i in slow], add_special_tokens=False)):
+            ids[i] = e.ids
+        lengths = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths, self.flat, self.pending = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat]), []
+
+    def _whole(self, text: str) -> list[int]:
+        """Places of a text with runs of white space or some beside a space: cut only at single spaces between other characters."""
         out, cur = [], None
-        for w in text.split(" "):
+        for w in [*text.split(" "), None]:
             if cur is None:
                 cur = w
-            elif w and cur and not w[0].isspace() and not cur[-1].isspace():
-                out.append(cur)
-                cur = w
-            else:
+            elif w is not None and not (w and cur and not w[0].isspace() and not cur[-1].isspace()):
                 cur += " " + w
-        out.append(cur)
-        return [out[0], *(w if w and not w[0].isspace() and not w[-1].isspace() else (w,) for w in out[1:])]
-
-    def _learn(self, words: list[str | tuple[str]], firsts: list[str]) -> None:
-        texts = [" " + (w if isinstance(w, str) else w[0]) for w in words] + firsts
-        n = len(self.lengths)
-        self.at.update(zip(words, range(n, n + len(words))))
-        self.first.update(zip(firsts, range(n + len(words), n + len(texts))))
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([y for x in ids for y in x], np.uint32)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+            else:
+                part = " " + cur if out else cur
+                if part and part not in self.parts:
+                    self.parts[part] = self.later(part)
+                out.append(self.parts[part] if part else None)
+                cur = w
+        return [x for x in out if x is not None]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and where each text's ids end, from 0 on."""
         if len(self.lengths) > KEPT_WORDS:
             self._reset()
-        cut_up = []
+        place, place_first, all_places = self.at.__getitem__, self.first.__getitem__, []
         for t in texts:
             words = t.split(" ")
-            # an empty word or white space beside a space: these belong together
-            cut_up.append(words if _plain(words, self.at) else self._words(t))
-        known, known_first = self.at, self.first
-        new = {w for words in cut_up for w in words[1:] if w not in known}
-        new_first = {words[0] for words in cut_up if words[0] and words[0] not in known_first}
-        if new or new_first:
-            self._learn(list(new), list(new_first))
-        places, ends = [], []
-        for words in cut_up:
-            if words[0]:
-                places.append(self.first[words[0]])
-            places += map(self.at.__getitem__, words[1:])
-            places.append(0)
-            ends.append(len(places))
-        p = np.array(places, np.int64)
+            got = list(map(place, words[1:]))
+            first = place_first(words[0]) if t else 0
+            if first < 0 or (got and min(got) < 0):
+                all_places.append([*self._whole(t), 0])
+            else:
+                all_places.append([first, *got, 0] if t else [0])
+        self._learn()
+        ends = np.cumsum([len(x) for x in all_places])
+        p = np.fromiter(chain.from_iterable(all_places), np.int64, int(ends[-1]) if len(ends) else 0)
         lengths = self.lengths[p]
         stop = np.cumsum(lengths)
         flat = self.flat[np.repeat(self.starts[p] - (stop - lengths), lengths) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        return flat, np.r_[0, stop[np.array(ends, np.int64) - 1]] if ends else np.zeros(1, np.int64)
+        return flat, np.r_[0, stop[ends - 1]] if len(ends) else np.zeros(1, np.int64)
+
+
+_LATIN = re.compile("[ -~\u00c0-\u024f]+").fullmatch
 
 
-def _plain(words: list[str], known: dict) -> bool:
-    """No word is empty or has white space at an end; known words that are strings have none."""
-    return all(w in known or (w and not w[0].isspace() and not w[-1].isspace()) for w in words[1:]) and (len(words) == 1 or (words[0] != "" and not words[0][-1].isspace()))
+def _encoder(path: str, fast_path: str | None) -> Encoder:
+    """The worker process's own, which lasts from task to task."""
+    kept = vars(sys).setdefault("_brindle_encoders", {})
+    if (path, fast_path) not in kept:
+        kept[path, fast_path] = Encoder(path, fast_path)
+    return kept[path, fast_path]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids, with the end id, cut every `window` ids."""
+    fast_path = None if path else tokenizer_path(RANKS)  # the same vocabulary
     path = path or tokenizer_path()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path, fast_path)
         for b in batches:
             all_ids, texts = b.column(0), ["" if t is None else t for t in b.column(1).to_pylist()]
             at = 0
