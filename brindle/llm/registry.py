@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import decontaminate, line_dedup, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
+from brindle.llm import decontaminate, line_dedup, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity, urls
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_url_filters": urls.query,
     "op9_packing": packing.query,
     "op10_toxicity": toxicity.query,
 }

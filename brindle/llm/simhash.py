@@ -6,6 +6,11 @@ distinct fingerprints with equal block bits. In a group, pairs of trie nodes are
 a pair of nodes beyond the budget is dropped. Groups emit a spanning forest of their links, never all pairs; a group
 beyond HOT fingerprints is first dealt out by pairs of sub-nodes on bits outside its block.
 
+For near copies of a given similarity (drop_near_copies), 64 bits are too few: texts whose five-word shingles have a Jaccard
+similarity of 0.8 differ in 15 % of the bits. There, fingerprints have WIDE * 64 bits; every 32-bit piece of them is joined with
+itself through its trie at 3 differing bits, and a pair found so is a link if the whole fingerprints differ in at most DIFFER
+bits. Expected for pairs at 0.8: 99 % meet in a piece, 98 % of those are within DIFFER; at 0.6 fewer than 1 % are.
+
 Nulls: a null text counts as an empty one, whose fingerprint is zero. A null id links like any other, and a component's id is
 its smallest id that isn't null (null if there is none). Repeated rows each give a row. Other columns are ignored.
 """
@@ -34,13 +39,9 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     if not words:
         return 0
     grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    ones, total, hashed = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
+    hashed = xxhash.xxh64_intdigest
     values = np.array([hashed(g, SEED) for g in grams], np.uint64)
-    for at in range(0, len(values), 1 << 16):
-        part = values[at : at + (1 << 16)]
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(part)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * _ones(values[:, None]) > len(values), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -81,21 +82,31 @@ class _Forest:
             self.label[self.label == max(x, y)] = min(x, y)
 
 
-def trie_links(fps: np.ndarray, budget: int) -> list[tuple[int, int]]:
-    """Index pairs that connect what lies within `budget` bits among sorted distinct unsigned fingerprints."""
+def trie_links(fps: np.ndarray, budget: int, top: int = 63, leaf: int = 4096, near=None) -> list[tuple[int, int]]:
+    """Index pairs that connect what lies within `budget` bits among sorted unsigned fingerprints whose highest bit is `top`.
+
+    Pairs of nodes with at most `leaf` pairs are compared at once. near(i, j), if given, tells which pairs are links.
+    """
     forest = _Forest(len(fps))
-    todo = [(slice(0, len(fps)), slice(0, len(fps)), 63, 0)]
+    todo = [(slice(0, len(fps)), slice(0, len(fps)), top, 0)]
     while todo:
         a, b, bit, differ = todo.pop()
         n, m = a.stop - a.start, b.stop - b.start
         if n <= 0 or m <= 0 or (a == b and n == 1) or (n * m > 64 and forest.one_tree(a, b)):
             continue
-        if n * m <= 4096 or bit < 0:
+        if n * m <= leaf or bit < 0:
             for at in range(a.start, a.stop, 1024):
                 rows = fps[at : min(at + 1024, a.stop)]
                 i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ fps[b][None, :]) <= budget)
                 i, j = i + at, j + b.start
-                forest.join(*((i[i < j], j[i < j]) if a == b else (i, j)))
+                if a == b:
+                    i, j = i[i < j], j[i < j]
+                apart = forest.label[i] != forest.label[j]
+                i, j = i[apart], j[apart]
+                if near and len(i):
+                    linked = near(i, j)
+                    i, j = i[linked], j[linked]
+                forest.join(i, j)
             continue
         mask = np.uint64(1) << np.uint64(bit)
 
@@ -114,6 +125,144 @@ def trie_links(fps: np.ndarray, budget: int) -> list[tuple[int, int]]:
     return forest.links
 
 
+#: 64-bit words of a wide fingerprint, bits of a piece, bits that may differ in a piece and in all.
+WIDE = 8
+PIECE_BITS = 32
+PIECE_BUDGET = 3
+DIFFER = 94
+
+
+def _ones(values: np.ndarray) -> np.ndarray:
+    """How many of the rows of (n, words) unsigned longs have each bit set."""
+    n, words = values.shape
+    ones = np.zeros(words * 64, np.int64)
+    for at in range(0, n, 255 * 64):
+        bits = np.unpackbits(values[at : at + 255 * 64].astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for i in range(0, len(bits), 255):  # 255 ones fit into a byte
+            ones += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+    return ones
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE) -> bytes:
+    """words * 8 bytes, as fingerprint() but from `words` mixes of each shingle's hash; zeros where there is no word."""
+    got = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not got:
+        return bytes(words * 8)
+    grams = [b" ".join(got)] if len(got) < shingle else map(b" ".join, zip(*(got[i:] for i in range(shingle))))
+    hashed = xxhash.xxh64_intdigest
+    h = np.array([hashed(g, SEED) for g in grams], np.uint64)[:, None]
+    ones = np.zeros(words * 64, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        x = h[at : at + (1 << 15)] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += _ones(x ^ (x >> np.uint64(31)))
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def _wide_rows(crowded: frozenset[int], counting: bool):
+    """Classes (cid, wide) to (key, piece, cid, wide): a row for each block of each piece, and for sub-node pairs of crowded keys."""
+    n_blocks = PIECE_BUDGET + 1
+    width = PIECE_BITS // n_blocks
+    masks = np.array([m for m in range(1 << width) if m.bit_count() <= PIECE_BUDGET], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                cid = b.column(0).to_numpy(zero_copy_only=False)
+                wide = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(b.num_rows, -1)
+                for p in range(wide.shape[1]):
+                    piece = wide[:, p].astype(np.int64)
+                    for k in range(n_blocks):
+                        value = (piece >> (k * width)) & ((1 << width) - 1)
+                        key, at_row = (p * n_blocks + k) << width | value, np.arange(len(piece))
+                        if counting:
+                            u, n = np.unique(key, return_counts=True)
+                            yield pa.record_batch([pa.array(u), pa.array(n)], ["key", "n"])
+                            continue
+                        full = np.isin(key, np.fromiter(crowded, np.int64, len(crowded)))
+                        if full.any():
+                            sub = (piece >> ((k + 1) % n_blocks * width)) & ((1 << width) - 1)
+                            i = np.repeat(np.flatnonzero(full), len(masks))
+                            other = sub[i] ^ np.tile(masks, int(full.sum()))
+                            pair = np.minimum(sub[i], other) << width | np.maximum(sub[i], other)
+                            at_row = np.r_[at_row[~full], i]
+                            key = np.r_[key[~full], (key[i] + 1) << 32 | pair]
+                        rows = pa.array(at_row)
+                        yield pa.record_batch([pa.array(key), pa.array(piece[at_row]), b.column(0).take(rows), b.column(1).take(rows)], ["key", "piece", "cid", "wide"])
+
+    return run
+
+
+def _wide_links(differ: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            keys, piece, cid = (t.column(i).to_numpy() for i in (0, 1, 2))
+            wide = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(len(t), -1)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            a, b = [], []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                if e - s < 2:
+                    continue
+                order = np.argsort(piece[s:e], kind="stable")
+                own, ids = wide[s:e][order], cid[s:e][order]
+                near = lambda i, j, own=own: np.bitwise_count(own[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= differ
+                for i, j in trie_links(piece[s:e][order].astype(np.uint64), PIECE_BUDGET, PIECE_BITS - 1, 1 << 16, near):
+                    a.append(ids[i])
+                    b.append(ids[j])
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column(0).to_numpy()
+            last = int(np.searchsorted(k, k[-1]))  # where the key begins that may go on
+            if held and (last or held[-1].column(0)[-1].as_py() != k[0]):
+                if last:
+                    held.append(batch.slice(0, last))
+                yield links(held)
+                held = []
+            elif last:
+                yield links([batch.slice(0, last)])
+            held.append(batch.slice(last))
+        if held:
+            yield links(held)
+
+    return run
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, differ: int = DIFFER, hot: int = HOT) -> DataFrame:
+    """docs with one row of each group of near copies: the one of the smallest id (nulls last). Rows and columns stay as they are."""
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[str | None, bytes] = {}
+            out = []
+            for t in b.column(2).to_pylist():
+                if t not in seen:
+                    seen[t] = wide_fingerprint(t, shingle)
+                out.append(seen[t])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["key", "doc_id", "wide"])
+
+    src = docs.select(key.alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    fps = src.mapInArrow(run, "key long, doc_id long, wide binary")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    classes = cut(fps.groupBy("wide").agg(best.alias("best")).withColumn("cid", F.xxhash64("wide")))
+    counts = classes.select("cid", "wide").mapInArrow(_wide_rows(frozenset(), True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
+    crowded = frozenset(r["key"] for r in counts.collect())  # of WIDE * 2 * (PIECE_BUDGET + 1) * 256 keys at most
+    rows = classes.select("cid", "wide").mapInArrow(_wide_rows(crowded, False), "key long, piece long, cid long, wide binary")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(differ), "a long, b long")
+    comp = components(found)
+    rooted = classes.join(comp, F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "best")
+    stay = cut(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("_stays")))
+    kept = docs.select("*", key.alias("_key")).join(stay, F.col("_key") == F.col("_stays"), "left_semi").dropDuplicates(["_key"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _links_of_groups(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
