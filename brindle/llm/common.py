@@ -58,3 +58,8 @@ def running(df: DataFrame, name: str, weight: Column, by: list[str], tie: list[s
     for c in on[1:]:
         cond = cond & c
     return d.join(sums, cond, "left").withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once for the row: inside a lambda, an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -22,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import let, table
 
 _c, _p = re._constants, re._parser
 #: Strings that a part of a pattern may stand for are listed up to so many.
@@ -147,22 +147,30 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def _spans(text: Column, rule: Rule, order: int, found: Column) -> Column:
     """Structs (start, ord, end) of the matches in `found` (all of them, in order) that are long enough."""
-    between = F.split(text, rule.pattern, -1)
-    steps = F.transform(found, lambda m, i: F.length(F.get(between, i)) + F.length(m))
-    size = F.size(found)
+    none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
 
     def total(a: Column, start: Column, n: Column) -> Column:
         return F.aggregate(F.slice(a, start, n), F.lit(0), lambda x, y: x + y)
 
-    # running sums by chunks, as slices from the beginning would cost the square of the matches
-    chunk_sums = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / _CHUNK).cast("int")), lambda c: total(steps, c * _CHUNK + 1, F.lit(_CHUNK)))
-    before = F.transform(chunk_sums, lambda x, c: total(chunk_sums, F.lit(1), c))
-    ends = F.transform(found, lambda m, i: F.get(before, F.floor(i / _CHUNK).cast("int")) + total(steps, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK + 1))
+    def chunk_of(i: Column) -> Column:
+        return F.floor(i / _CHUNK).cast("int")
+
+    def steps(m: Column) -> Column:
+        return let(F.split(text, rule.pattern, -1), lambda between: F.transform(m, lambda x, i: F.length(F.get(between, i)) + F.length(x)))
+
+    def ends(step: Column) -> Column:
+        # running sums by chunks, as slices from the beginning would cost the square of the matches
+        sums = F.transform(F.sequence(F.lit(0), chunk_of(F.size(step) - 1)), lambda c: total(step, c * _CHUNK + 1, F.lit(_CHUNK)))
+        before = let(sums, lambda s: F.transform(s, lambda x, c: total(s, F.lit(1), c)))
+        return let(before, lambda b: F.transform(step, lambda x, i: F.get(b, chunk_of(i)) + total(step, chunk_of(i) * _CHUNK + 1, i % _CHUNK + 1)))
+
+    def spans(m: Column, end: Column, told: Column) -> Column:
+        every = F.transform(m, lambda x, i: F.struct((F.get(end, i) - F.length(x)).alias("start"), F.lit(order).alias("ord"), F.get(end, i).alias("end"), F.length(F.get(told, i)).alias("told")))
+        return F.transform(F.filter(every, lambda s: s["told"] >= rule.least), lambda s: F.struct(s["start"], s["ord"], s["end"]))
+
     told = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    spans = F.transform(found, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.lit(order).alias("ord"), F.get(ends, i).alias("end"), F.length(F.get(told, i)).alias("told")))
-    spans = F.filter(spans, lambda s: s["told"] >= rule.least) if rule.least else spans
-    none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
-    return F.when(size == 0, none).otherwise(F.transform(spans, lambda s: F.struct(s["start"], s["ord"], s["end"])))
+    all_of = let(found, lambda m: let(let(steps(m), ends), lambda end: let(told, lambda t: spans(m, end, t))))
+    return F.when(F.size(found) == 0, none).otherwise(all_of)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
