@@ -47,6 +47,12 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[feature >= 0], feature[feature >= 0]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, as each word of a batch takes some memory at once."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
 @dataclass(frozen=True)
 class Model:
     """Features in order, their weights, and the ordered thresholds."""
@@ -68,14 +74,20 @@ class Model:
         return np.bincount(pairs >> FEATURE_BITS, weight[pairs & ((1 << FEATURE_BITS) - 1)], minlength=len(texts))
 
 
-def fit(texts: list[str], grades: list[int], steps: int = STEPS, penalty: float = PENALTY, min_rows: int = MIN_ROWS) -> Model:
-    """Adagrad steps with a proximal L1 step on the cumulative-link likelihood. Grades are whole numbers from 0."""
+def features_of(texts: list[str | None]) -> list[np.ndarray]:
+    """The distinct features of each text."""
+    row, feature = _features(pa.array(texts, pa.large_string()))
+    pairs = np.unique(row << FEATURE_BITS | feature)
+    return np.split((pairs & ((1 << FEATURE_BITS) - 1)).astype(np.int32), np.searchsorted(pairs >> FEATURE_BITS, np.arange(1, len(texts))))
+
+
+def fit(features: list[np.ndarray], grades: list[int], steps: int = STEPS, penalty: float = PENALTY, min_rows: int = MIN_ROWS) -> Model:
+    """Adagrad steps with a proximal L1 step on the cumulative-link likelihood. features as from features_of(); grades are whole numbers from 0."""
     y = np.asarray(grades, np.int64)
     if len(set(grades)) < 2 or y.min() < 0:
         raise ValueError("training needs two grades at least, from 0 up")
-    row, feature = _features(pa.array(texts, pa.large_string()))
-    pairs = np.unique(row << FEATURE_BITS | feature)
-    row, feature = pairs >> FEATURE_BITS, pairs & ((1 << FEATURE_BITS) - 1)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in features])
+    feature = np.concatenate(features)
     kept, place, n_rows = np.unique(feature, return_inverse=True, return_counts=True)
     use = (n_rows >= min_rows)[place]
     row, place = row[use], (np.cumsum(n_rows >= min_rows) - 1)[place[use]]
@@ -112,9 +124,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(f"`{label_id_col}`").cast("long").alias("l_id"), F.col(f"`{grade_col}`").cast("int").alias("grade")).filter("l_id is not null and grade is not null").groupBy("l_id").agg(F.max("grade").alias("grade"))
     some = known.orderBy(F.xxhash64("l_id"), "l_id").limit(max_rows)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("d_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = d.join(F.broadcast(some), F.col("d_id") == F.col("l_id")).select("d_id", "grade", "text", F.xxhash64("d_id").alias("h")).orderBy("h", "d_id", "text").limit(max_rows)
-    got = rows.select("grade", "text").toArrow()
-    return fit(got.column("text").to_pylist(), got.column("grade").to_pylist())
+    rows = d.join(F.broadcast(some), F.col("d_id") == F.col("l_id")).select(F.xxhash64("d_id").alias("h"), "d_id", "grade", "text")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            yield pa.record_batch([*b.columns[:-1], pa.array(features_of(b.column(3).to_pylist()) if b.num_rows else [], pa.list_(pa.int32()))], ["h", "d_id", "grade", "features"])
+
+    # texts stay on the executors; the driver gets max_rows lists of features
+    got = rows.mapInArrow(told, "h long, d_id long, grade int, features array<int>").orderBy("h", "d_id", "features").limit(max_rows).select("grade", "features").toArrow()
+    lists = got.column("features").combine_chunks()
+    return fit([x.values.to_numpy() for x in lists], got.column("grade").to_pylist())
 
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -122,7 +141,7 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("severity", "grade")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             above = model.above(model.score(b.column(b.num_columns - 1)))
             yield pa.record_batch([*b.columns[:-1], pa.array(above.sum(axis=1)), pa.array((above > 0.5).sum(axis=1).astype(np.int32))], [*b.schema.names[:-1], "severity", "grade"])
 
