@@ -2,8 +2,8 @@
 
 P(grade > k) = sigmoid(w . x - b_k): one weight for each word, shared across the ordered thresholds b_1 < b_2 < ..., so the grades
 stay ordered. x says which words (lower case, without punctuation around them, hashed to 2^FEATURE_BITS) a text has. Training
-takes at most `max_rows` labelled rows, those with the smallest hash of their id, on the driver, by gradient steps with an L1
-penalty, so that only words that tell remain. Scoring sums weights of a text's distinct words; the expected severity is the
+takes at most `max_rows` labelled rows, those with the smallest hash of their id, on the driver: gradient steps with an L1
+penalty select the words that tell, and a refit without it gives them their weights. Scoring sums weights of a text's distinct words; the expected severity is the
 sum of P(grade > k) over k.
 
 Nulls: a null text has no words and a severity from the thresholds alone; rows whose id or grade is null aren't trained on; a null
@@ -31,7 +31,11 @@ FEATURE_BITS = 20
 MAX_ROWS = 8000
 MIN_ROWS = 3
 STEPS = 300
-PENALTY = 2e-4
+#: L1 penalty of the selection, over the square root of the rows; the refit of selected words has next to none.
+STRENGTH = 0.03
+REFIT_PENALTY = 2e-6
+#: A grade is passed if that is at least so probable: toxic texts are rare, so one that resembles them at all stands out.
+CUT = 0.3
 _EDGE = string.punctuation + "…“”„«»¿¡’‘–—"
 
 
@@ -81,8 +85,18 @@ def features_of(texts: list[str | None]) -> list[np.ndarray]:
     return np.split((pairs & ((1 << FEATURE_BITS) - 1)).astype(np.int32), np.searchsorted(pairs >> FEATURE_BITS, np.arange(1, len(texts))))
 
 
-def fit(features: list[np.ndarray], grades: list[int], steps: int = STEPS, penalty: float = PENALTY, min_rows: int = MIN_ROWS) -> Model:
-    """Adagrad steps with a proximal L1 step on the cumulative-link likelihood. features as from features_of(); grades are whole numbers from 0."""
+def fit(features: list[np.ndarray], grades: list[int], steps: int = STEPS, strength: float = STRENGTH, min_rows: int = MIN_ROWS) -> Model:
+    """Words selected under an L1 penalty, and then their weights. features as from features_of(); grades are whole numbers from 0."""
+    first = _descend(features, grades, steps, strength / np.sqrt(max(1, len(grades))), min_rows)
+    if not len(first.features):
+        return first
+    keep = np.zeros(1 << FEATURE_BITS, bool)
+    keep[first.features] = True
+    return _descend([x[keep[x]] for x in features], grades, steps, REFIT_PENALTY, 1)
+
+
+def _descend(features: list[np.ndarray], grades: list[int], steps: int, penalty: float, min_rows: int) -> Model:
+    """Adagrad steps with a proximal L1 step on the cumulative-link likelihood."""
     y = np.asarray(grades, np.int64)
     if len(set(grades)) < 2 or y.min() < 0:
         raise ValueError("training needs two grades at least, from 0 up")
@@ -137,13 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns (those in keep, if given), severity (expected grade) and grade (how many thresholds are likelier passed than not)."""
+    """docs' columns (those in keep, if given), severity (expected grade) and grade (how many thresholds are passed with a probability of CUT or more)."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("severity", "grade")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             above = model.above(model.score(b.column(b.num_columns - 1)))
-            yield pa.record_batch([*b.columns[:-1], pa.array(above.sum(axis=1)), pa.array((above > 0.5).sum(axis=1).astype(np.int32))], [*b.schema.names[:-1], "severity", "grade"])
+            yield pa.record_batch([*b.columns[:-1], pa.array(above.sum(axis=1)), pa.array((above >= CUT).sum(axis=1).astype(np.int32))], [*b.schema.names[:-1], "severity", "grade"])
 
     src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").cast("string").alias("t"))
     out = src.drop("t").withColumns({"severity": F.lit(0.0), "grade": F.lit(0)})
@@ -151,7 +165,7 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: kept is false where a grade above 0 is likelier than not."""
+    """One row per document: kept is false where the grade is above 0."""
     docs = table(spark, sf_dir, "documents")
     out = grade(docs, train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return out.select("doc_id", "severity", "grade", (F.col("grade") == 0).alias("kept"))

@@ -16,7 +16,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose grade is likelier 0 than not, by a model of the labelled ones among them."""
+    """Documents of grade 0, by a model of the labelled ones among them."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.grade(docs, model).filter("grade = 0").select(*COLUMNS)
 
