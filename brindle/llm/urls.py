@@ -2,7 +2,7 @@
 
 A URL that a rule fits gets the longest rule's verdict. Any other is scored: trigrams of host and path are hashed to BUCKETS
 features, a feature's value being its count over the square root of all trigrams, and a probability of 0.5 or more blocks.
-Training is full-batch gradient descent inside one SQL expression over the labelled table, which is small by contract
+Training is full-batch gradient descent with momentum inside one SQL expression over the labelled table, which is small by contract
 (MAX_LABELLED rows; more is an error); its BUCKETS + 1 numbers are all that the driver sees and sends.
 
 Nulls: a null URL, or one without "://", has an empty host and path; no rule fits and it is scored by the intercept alone.
@@ -16,13 +16,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, table
+from brindle.llm.common import cut, let, table
 
 #: (rule's host and path, verdict)
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-BUCKETS = 512
+BUCKETS = 2048
 STEPS = 150
-RATE = 4.0
+RATE = 3.0
+MOMENTUM = 0.9
 DECAY = 2e-4
 MAX_LABELLED = 2000
 
@@ -67,22 +68,18 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
 
 
 def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
-    """Hashed trigrams of host and path, each with its part's ends marked."""
+    """Hashed trigrams of host and path, whose ends are marked; a trigram means the same in either."""
 
-    def of(part: str, x: Column) -> Column:
+    def of(x: Column) -> Column:
         marked = F.concat(F.lit("\x02"), x, F.lit("\x03"))
-        return F.transform(F.regexp_extract_all(marked, F.lit("(?s)(?=(...))"), F.lit(1)), lambda g: F.pmod(F.xxhash64(F.lit(part), g), F.lit(buckets)).cast("int"))
+        return F.transform(F.regexp_extract_all(marked, F.lit("(?s)(?=(...))"), F.lit(1)), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
 
-    return F.concat(of("h", host), of("p", path))
+    return F.concat(of(host), of(path))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _dot(sparse: Column, dense: Column) -> Column:
+    """Of an array of (at, v) with an array."""
+    return F.aggregate(sparse, F.lit(0.0), lambda s, e: s + e["v"] * F.get(dense, e["at"]))
 
 
 def train(examples: DataFrame, url_col: str = "url", label_col: str = "blocked", buckets: int = BUCKETS, steps: int = STEPS) -> list[float]:
@@ -92,20 +89,27 @@ def train(examples: DataFrame, url_col: str = "url", label_col: str = "blocked",
     if not 0 < n <= MAX_LABELLED:
         raise ValueError(f"{n} labelled rows; 1 to {MAX_LABELLED} can be trained on")
     host, path = host_and_path(F.col("url"))
-    one = rows.select("url", "y", grams(host, path, buckets).alias("g")).groupBy().agg(F.array_sort(F.collect_list(F.struct("url", "y", "g"))).alias("e"))
-    norm = lambda g: F.sqrt(F.greatest(F.size(g), F.lit(1)).cast("double"))
-    x = F.transform("e", lambda e: F.concat(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda j: F.size(F.filter(e["g"], lambda g: g == j)) / norm(e["g"])), F.array(F.lit(1.0))))
-    # written, as an inlined array would be computed for each element that is read of it
-    one = cut(one.select(F.transform("e", lambda e: e["y"]).alias("y"), x.alias("x")))
-    # the features' values by feature, for the gradient
-    one = one.withColumn("xt", F.transform(F.sequence(F.lit(0), F.lit(buckets)), lambda j: F.transform("x", lambda r: F.get(r, j))))
-    one = cut(one)
-
-    def step(w: Column, t: Column) -> Column:
-        errors = F.transform("x", lambda r, i: 1 / (1 + F.exp(-_dot(r, w))) - F.get("y", i))
-        return _let(errors, lambda err: F.transform(w, lambda wj, j: wj - RATE * (_dot(F.get("xt", j), err) / n + DECAY * F.when(j < buckets, wj).otherwise(0.0))))
-
-    out = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array_repeat(F.lit(0.0), buckets + 1), step).alias("w"))
+    g = rows.select("url", "y", grams(host, path, buckets).alias("g"))
+    norm = F.sqrt(F.greatest(F.size("g"), F.lit(1)).cast("double"))
+    x = F.transform(F.array_sort(F.array_distinct("g")), lambda b: F.struct(b.alias("at"), (F.size(F.filter("g", lambda h: h == b)) / norm).alias("v")))
+    g = g.select("url", "y", F.concat(x, F.array(F.struct(F.lit(buckets).alias("at"), F.lit(1.0).alias("v")))).alias("x"))
+    # one row of all examples in order; written, as an inlined array would be computed for each element that is read of it
+    one = cut(g.groupBy().agg(F.array_sort(F.collect_list(F.struct("url", "y", "x"))).alias("e")).select(F.transform("e", lambda e: e["y"]).alias("y"), F.transform("e", lambda e: e["x"]).alias("x")))
+    # and by feature, for the gradient
+    cells = one.select(F.posexplode("x").alias("i", "r")).select("i", F.explode("r").alias("c")).groupBy("c.at").agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("at"), F.col("c.v").alias("v")))).alias("l"))
+    empty = F.array().cast("array<struct<at:int,v:double>>")
+    by = cells.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("at", "l"))).alias("m"))
+    xt = by.select(F.transform(F.sequence(F.lit(0), F.lit(buckets)), lambda j: F.coalesce(F.try_element_at("m", j), empty)).alias("xt"), F.lit(0).alias("k"))
+    one = cut(one.withColumn("k", F.lit(0)).join(xt, "k"))
+
+    def step(at: Column, t: Column) -> Column:
+        errors = F.transform("x", lambda r, i: 1 / (1 + F.exp(-_dot(r, at["w"]))) - F.get("y", i))
+        slope = lambda err: F.transform(at["w"], lambda wj, j: _dot(F.get("xt", j), err) / n + DECAY * F.when(j < buckets, wj).otherwise(0.0))
+        pace = let(errors, lambda err: F.zip_with(at["v"], slope(err), lambda v, d: MOMENTUM * v - RATE * d))
+        return let(pace, lambda v: F.struct(F.zip_with(at["w"], v, lambda a, b: a + b).alias("w"), v.alias("v")))
+
+    zeros = F.array_repeat(F.lit(0.0), buckets + 1)
+    out = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(zeros.alias("w"), zeros.alias("v")), step, lambda at: at["w"]).alias("w"))
     return list(out.first()["w"])
 
 
@@ -129,13 +133,13 @@ def judge(pages: DataFrame, weights: list[float], url_col: str = "url", rules: t
 
 
 def score_one(url: str | None, weights: list[float], hashed) -> float:
-    """What judge() computes, in plain Python, given the bucket function hashed(part, trigram); for tests."""
+    """What judge() computes, in plain Python, given the bucket function hashed(trigram); for tests."""
     text = url or ""
     rest = text.split("://", 1)[1] if "://" in text else ""
     cut = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
     host, rest = "".join(c.lower() if c.isascii() else c for c in rest[:cut]), rest[cut:]
     path = rest[: min([i for i in map(rest.find, "?#") if i >= 0], default=len(rest))]
-    got = [hashed(part, m[i : i + 3]) for part, x in (("h", host), ("p", path)) for m in ["\x02" + x + "\x03"] for i in range(len(m) - 2)]
+    got = [hashed(m[i : i + 3]) for m in ("\x02" + host + "\x03", "\x02" + path + "\x03") for i in range(len(m) - 2)]
     score = weights[-1] + (sum(weights[b] for b in got) / math.sqrt(max(1, len(got))) if host or path else 0.0)
     return 1 / (1 + math.exp(-score))
 
