@@ -79,12 +79,12 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cells(_slices(spark, sf_dir), Z, Y)
 
 
-def _slice_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slice, data): slice bytes, zero-padded; the pieces of a slice are Z bytes in all."""
-    s = layout.spans(_placed(spark, sf_dir, content=True).filter("is_canonical"), Z)
+def _slice_data(spark: SparkSession, sf_dir: str, z: int = Z) -> DataFrame:
+    """(slice, data): slice bytes, zero-padded; the pieces of a slice are z bytes in all."""
+    s = layout.spans(_placed(spark, sf_dir, content=True).filter("is_canonical"), z)
     piece = F.expr("hex(substring(content, int(span_begin - stream_offset + 1), int(span_end - span_begin)))")
     one = s.select("slice", F.struct("span_begin", piece.alias("h")).alias("p")).groupBy("slice").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return one.select("slice", F.unhex(F.rpad(F.array_join(F.transform("ps", lambda p: p["h"]), ""), 2 * Z, "0")).alias("data"))
+    return one.select("slice", F.unhex(F.rpad(F.array_join(F.transform("ps", lambda p: p["h"]), ""), 2 * z, "0")).alias("data"))
 
 
 # ---- catalogue, names, duplicates
@@ -315,10 +315,11 @@ def highwater_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.highwater(e, "l_linenumber", "off", "len", 8, ["l_orderkey"])
 
 
-@query("extent_overlaps", f"""WITH e AS (SELECT l_orderkey % 50 AS o, * FROM ({_EDITS}) WHERE l_orderkey < 400 AND "end" > "begin"), a AS (SELECT l_orderkey AS l_key, "begin" + o * 400 AS l_begin, "end" + o * 400 AS l_end FROM e WHERE l_orderkey % 2 = 0), b AS (SELECT l_orderkey AS r_key, "begin" + o * 400 AS r_begin, "end" + o * 400 AS r_end FROM e WHERE l_orderkey % 2 = 1)
-SELECT * FROM a JOIN b ON l_begin < r_end AND r_begin < l_end""")
+@query("extent_overlaps", f"""WITH e AS (SELECT l_orderkey // 2 * 400 AS o, * FROM ({_EDITS}) WHERE "end" > "begin"), a AS (SELECT l_orderkey AS l_key, "begin" + o AS l_begin, "end" + o AS l_end FROM e WHERE l_orderkey % 2 = 0), b AS (SELECT l_orderkey AS r_key, o AS ro, "begin" + o AS r_begin, "end" + o AS r_end FROM e WHERE l_orderkey % 2 = 1)
+SELECT l_key, l_begin, l_end, r_key, r_begin, r_end FROM a JOIN b ON l_key // 2 = r_key // 2 AND l_begin < r_end AND r_begin < l_end""")
 def extent_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edits(spark, sf_dir).filter((F.col("l_orderkey") < 400) & (F.col("end") > F.col("begin"))).withColumn("o", F.col("l_orderkey") % 50 * 400)
+    """Edits of an even order against those of the next odd one, all on one line (400 apart, so other orders never meet)."""
+    e = _edits(spark, sf_dir).filter(F.col("end") > F.col("begin")).withColumn("o", F.floor(F.col("l_orderkey") / 2) * 400)
     a = e.filter("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("l_key"), (F.col("begin") + F.col("o")).alias("l_begin"), (F.col("end") + F.col("o")).alias("l_end"))
     b = e.filter("l_orderkey % 2 = 1").select(F.col("l_orderkey").alias("r_key"), (F.col("begin") + F.col("o")).alias("r_begin"), (F.col("end") + F.col("o")).alias("r_end"))
     return layout.overlap_join(a, b, 64)
@@ -390,7 +391,8 @@ def copy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- coding
 
 GF_SQL = """RECURSIVE g(i, x) AS (SELECT 0, 1 UNION ALL SELECT i + 1, CASE WHEN x * 2 >= 256 THEN xor(x * 2, 285) ELSE x * 2 END FROM g WHERE i < 254)"""
-S_CODE, R_CODE, BYTES_CODE = 32, 4, 64
+#: the stream is coded in so many slices (of a multiple of 64 bytes each) with so many recovery slices
+S_CODE, R_CODE = 200, 4
 LOST = (3, 17, 20, 31)
 
 
@@ -405,75 +407,85 @@ def cauchy_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "exponent long, data long, coefficient int")
 
 
-def _code_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first bytes of the first entries stand for slices."""
-    e = _entries(spark, sf_dir).filter(F.col("ord") < S_CODE)
-    return e.select(F.col("ord").alias("slice"), F.unhex(F.rpad(F.hex(F.expr(f"substring(content, 1, {BYTES_CODE})")), 2 * BYTES_CODE, "0")).alias("data"))
+def _code_size(spark: SparkSession, sf_dir: str) -> int:
+    return planner.slice_size(_length(_placed(spark, sf_dir)), wanted=S_CODE)
+
 
+def _code_slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The whole stream in S_CODE slices at most."""
+    z = _code_size(spark, sf_dir)
+    return staged(_slice_data(spark, sf_dir, z)), z
 
-CODE_SQL = f"""{E_SQL}, d AS (SELECT ord AS slice, rpad(hex(encode(text)[1:{BYTES_CODE}]), {2 * BYTES_CODE}, '0') AS h FROM E WHERE ord < {S_CODE})"""
 
+CODE_SQL = f"""{P_SQL}, zz AS (SELECT len, ((len + {S_CODE - 1}) // {S_CODE} + 63) // 64 * 64 AS z FROM L), w0 AS (SELECT string_agg(hex(encode(text)), '' ORDER BY stream_offset) AS h FROM P WHERE is_canonical AND length > 0),
+cd AS (SELECT i AS slice, z, rpad(substr(h, (2 * i * z + 1)::BIGINT, (2 * z)::BIGINT), (2 * z)::INT, '0') AS h FROM w0, zz, unnest(range(0, (len + z - 1) // z)) AS t(i))"""
 
-@query("gf8_encode", f"""WITH {GF_SQL}, {CODE_SQL}, b AS (SELECT slice, p, ('0x' || substr(h, 2 * p + 1, 2))::INT AS v FROM d, unnest(range(0, {BYTES_CODE})) AS t(p)),
+
+@query("gf8_encode", f"""WITH {GF_SQL}, {CODE_SQL}, b AS (SELECT slice, p, ('0x' || substr(h, (2 * p + 1)::BIGINT, 2))::INT AS v FROM cd, unnest(range(0, z)) AS t(p)),
 c AS (SELECT e, s, (255 - q.i) % 255 AS lg FROM unnest(range(0, {R_CODE})) AS a(e), unnest(range(0, {S_CODE})) AS z(s) JOIN g q ON q.x = xor((255 - e)::INT, s::INT)),
 m AS (SELECT e, p, bit_xor(coalesce(y.x, 0)) AS v FROM b JOIN c ON c.s = b.slice LEFT JOIN g w ON w.x = b.v LEFT JOIN g y ON y.i = (w.i + c.lg) % 255 GROUP BY e, p)
-SELECT e AS exponent, string_agg(printf('%02x', v), '' ORDER BY p) AS data FROM m GROUP BY e""")
+SELECT e AS exponent, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY p))) AS digest FROM m GROUP BY e""")
 def gf8_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coding.encode(_code_slices(spark, sf_dir), R_CODE, BYTES_CODE).select("exponent", F.lower(F.hex("data")).alias("data"))
+    s, z = _code_slices(spark, sf_dir)
+    return coding.encode(s, R_CODE, z).select("exponent", F.sha2("data", 256).alias("digest"))
+
 
+def _roundtrip(spark: SparkSession, sf_dir: str, lost: tuple[int, ...], bits: int) -> DataFrame:
+    s, z = _code_slices(spark, sf_dir)
+    recovery = staged(coding.encode(s, len(lost), z, bits))
+    return coding.decode(s, recovery, list(lost), z, bits).select("slice", F.sha2("data", 256).alias("digest"))
 
-@query("gf8_decode_roundtrip", f"WITH {CODE_SQL} SELECT slice, lower(h) AS data FROM d WHERE slice IN {LOST}")
+
+@query("gf8_decode_roundtrip", f"WITH {CODE_SQL} SELECT slice, sha256(unhex(h)) AS digest FROM cd WHERE slice IN {LOST}")
 def gf8_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _code_slices(spark, sf_dir)
-    recovery = staged(coding.encode(s, R_CODE, BYTES_CODE))
-    return coding.decode(s, recovery, list(LOST), BYTES_CODE).select("slice", F.lower(F.hex("data")).alias("data"))
+    return _roundtrip(spark, sf_dir, LOST, 8)
 
 
-@query("gf16_decode_roundtrip", f"WITH {CODE_SQL} SELECT slice, lower(h) AS data FROM d WHERE slice IN {LOST[:2]}")
+@query("gf16_decode_roundtrip", f"WITH {CODE_SQL} SELECT slice, sha256(unhex(h)) AS digest FROM cd WHERE slice IN {LOST[:2]}")
 def gf16_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _code_slices(spark, sf_dir)
-    recovery = staged(coding.encode(s, 2, BYTES_CODE, 16))
-    return coding.decode(s, recovery, list(LOST[:2]), BYTES_CODE, 16).select("slice", F.lower(F.hex("data")).alias("data"))
+    return _roundtrip(spark, sf_dir, LOST[:2], 16)
 
 
-@query("recovery_added", None)
+@query("recovery_added", ORACLES["gf8_encode"])
 def recovery_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More recovery slices for a set that has some: rows don't depend on one another."""
-    s = _code_slices(spark, sf_dir)
-    both = coding.encode(s, 2, BYTES_CODE).union(coding.encode(s, 2, BYTES_CODE, first=2))
-    return both.select("exponent", F.lower(F.hex("data")).alias("data"))
-
-
-ORACLES["recovery_added"] = ORACLES["gf8_encode"]
+    s, z = _code_slices(spark, sf_dir)
+    return coding.encode(s, 2, z).union(coding.encode(s, 2, z, first=2)).select("exponent", F.sha2("data", 256).alias("digest"))
 
 
 @query("stream_encode", ORACLES["gf8_encode"])
 def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _code_slices(spark, sf_dir)
+    z = _code_size(spark, sf_dir)
+    s = _slice_data(spark, sf_dir, z)
     path = f"{shared_dir(spark)}/slices-{np.random.default_rng().integers(1 << 62):x}"
     s.repartition(4, "slice").write.parquet(path)
     stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return encode_stream(spark, stream, R_CODE, BYTES_CODE).select("exponent", F.lower(F.hex("data")).alias("data"))
+    return encode_stream(spark, stream, R_CODE, z).select("exponent", F.sha2("data", 256).alias("digest"))
 
 
 @query("inner_rs_scrub")
 def inner_rs_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries' first bytes as codewords, damaged by a rule, and what correction finds: errors, status, codewords."""
+    """All entries in codewords, an eighth of them damaged by a rule, and what correction finds: errors, status, codewords, wrong."""
     code = rs.Code()
 
     def run(batches):
         for b in batches:
-            out = []
             for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                word = rs.encode(data[: code.k].ljust(code.k, b"\0"), code)
-                n = number % 19
-                got, fixed = rs.correct(damage.burst(word, n, number % 200), code)
-                out.append((number, n, got, "failed" if got < 0 else "clean" if not got else "corrected", got < 0 or fixed == word))
-            yield pa.record_batch([pa.array(c) for c in zip(*out)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())], ["ord", "injected", "errors", "status", "right"])
-
-    e = _entries(spark, sf_dir).filter("ord < 400").select("ord", "content")  # the feature is the scrub of a set's first frames
-    r = e.mapInArrow(run, "ord long, injected long, errors long, status string, right boolean")
-    return r.groupBy("errors", "status").agg(F.count("*").alias("codewords"), F.sum(F.when(~F.col("right"), 1).otherwise(0)).alias("wrong"))
+                frames = -(-len(data) // code.k)
+                if not frames:
+                    continue
+                words = rs.encode_many(np.frombuffer(data.ljust(frames * code.k, b"\0"), np.uint8).reshape(frames, code.k), code)
+                frame = np.arange(frames)
+                hurt = np.where((number + frame) % 8 == 0, (number * 31 + frame) % 19, 0)
+                seen = [damage.burst(w.tobytes(), int(n), (number + i) % 200) for i, (w, n) in enumerate(zip(words, hurt))]
+                bad = rs.syndromes(np.frombuffer(b"".join(seen), np.uint8).reshape(frames, code.n), code).any(axis=1)
+                out = [rs.correct(w, code) if x else (0, w) for w, x in zip(seen, bad.tolist())]
+                right = [e < 0 or fixed == w.tobytes() for (e, fixed), w in zip(out, words)]
+                yield pa.record_batch([pa.array([e for e, _ in out], pa.int64()), pa.array(right)], ["errors", "right"])
+
+    r = _entries(spark, sf_dir).select("ord", "content").mapInArrow(run, "errors long, right boolean")
+    status = F.when(F.col("errors") < 0, "failed").when(F.col("errors") == 0, "clean").otherwise("corrected")
+    return r.groupBy("errors").agg(F.count("*").alias("codewords"), F.sum(F.when(~F.col("right"), 1).otherwise(0)).alias("wrong")).withColumn("status", status)
 
 
 @query("scrub_histogram", "WITH f AS (SELECT (l_partkey * 7 + l_linenumber) % 19 AS errors FROM lineitem) SELECT errors, CASE WHEN errors = 0 THEN 'clean' WHEN errors <= 16 THEN 'corrected' ELSE 'failed' END AS status, count(*) AS codewords, sum(errors)::BIGINT AS symbols FROM f GROUP BY errors")
@@ -612,7 +624,7 @@ def packet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(batches):
         for b in batches:
-            rows = [(n, packets.encode("FILE", b"brindle set id 0", d[:500])) for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            rows = [(n, packets.encode("FILE", b"brindle set id 0", d)) for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             rows = [(f"v{n:08d}", damage.burst(d, 1, 60) if n % 7 == 0 else d) for n, d in rows]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["volume", "content"])
 
@@ -675,7 +687,7 @@ def resync_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("resync_rolling")
 def resync_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries' blocks of 256 bytes located in the same entries after five bytes were put before them."""
-    e = _entries(spark, sf_dir).filter("length between 600 and 2000").select("ord", "content")
+    e = _entries(spark, sf_dir).select("ord", "content")
     probes = resync.rolling(e, 256, 256).select("id", F.col("pos").alias("expected"), "crc")
     hits = resync.rolling(damage.inject(e, "insert", (0, 5, 1)), 256)
     return resync.dominant(resync.votes(hits, probes.select("expected", "crc"), 64))
