@@ -247,14 +247,14 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
         yield sorted(((r["i"], canonical(r["t"])) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, rate: float = RATE, keep: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, rate: float = RATE, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs' columns (those in keep, if given) and `matches`: for each row the items found in it, with spans in bytes of the canonical text and edits.
 
     A column of docs that is itself called `matches` is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != "matches"]
     out = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.array().cast(MATCHES).alias("matches"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    for items in blocks(benchmark, item_col, item_text_col):
+    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
         index = Index(items, window, rate)
         if index.items:
             out = out.mapInArrow(_scan(index), out.schema)

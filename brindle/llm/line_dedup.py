@@ -36,28 +36,28 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float = RAT
     counts = lines.groupBy("site", "k").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     t = totals.select(F.col("site").alias("t_site"), "total")
     often = counts.join(t, F.col("site").eqNullSafe(F.col("t_site"))).filter(F.col("n") > F.col("total") * F.lit(ratio))
-    return often.groupBy("site").agg(F.collect_list("k").alias("bad")).select(F.col("site").alias("b_site"), "bad")
+    return often.groupBy("site").agg(F.collect_list("k").alias("__brindle_of_bad")).select(F.col("site").alias("__brindle_of_b_site"), "__brindle_of_bad")
 
 
 def drop_lines(pages: DataFrame, site: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with `text_col` less its boilerplate lines, and n_lines and n_dropped (columns of these names are replaced)."""
     text = F.col(f"`{text_col}`")
     bad = cut(boilerplate(pages, site, text, ratio, min_pages))
-    size = bad.agg(F.sum(F.size("bad") * 12 + 32)).first()[0] or 0
+    size = bad.agg(F.sum(F.size("__brindle_of_bad") * 12 + 32)).first()[0] or 0
     d = pages.drop("n_lines", "n_dropped")
     cols = [F.col(f"`{c}`") for c in d.columns]
-    d = d.select(*cols, site.cast("string").alias("_site"))
+    d = d.select(*cols, site.cast("string").alias("__brindle_site"))
     if size <= BROADCAST_BYTES:
-        j = d.join(F.broadcast(bad), F.col("_site").eqNullSafe(F.col("b_site")), "left")
+        j = d.join(F.broadcast(bad), F.col("__brindle_site").eqNullSafe(F.col("__brindle_of_b_site")), "left")
     else:
-        salted = bad.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        j = d.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        j = j.join(salted, F.col("_site").eqNullSafe(F.col("b_site")) & (F.col("_salt") == F.col("b_salt")), "left")
+        salted = bad.withColumn("__brindle_of_b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        j = d.withColumn("__brindle_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        j = j.join(salted, F.col("__brindle_site").eqNullSafe(F.col("__brindle_of_b_site")) & (F.col("__brindle_salt") == F.col("__brindle_of_b_salt")), "left")
     lines = F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
-    j = j.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~x.rlike(WORD) | ~F.array_contains("bad", _key(x)))))
-    kept = F.when(text.isNull(), F.lit(None).cast("string")).otherwise(F.array_join("_kept", "\n"))
-    out = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in d.columns if c != "_site"]
-    return j.select(*out, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
+    j = j.withColumn("__brindle_lines", lines).withColumn("__brindle_kept", F.when(F.col("__brindle_of_bad").isNull(), F.col("__brindle_lines")).otherwise(F.filter("__brindle_lines", lambda x: ~x.rlike(WORD) | ~F.array_contains("__brindle_of_bad", _key(x)))))
+    kept = F.when(text.isNull(), F.lit(None).cast("string")).otherwise(F.array_join("__brindle_kept", "\n"))
+    out = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in d.columns if c != "__brindle_site"]
+    return j.select(*out, F.size("__brindle_lines").cast("long").alias("n_lines"), (F.size("__brindle_lines") - F.size("__brindle_kept")).cast("long").alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,8 +258,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(differ), "a long, b long")
     comp = components(found)
     rooted = classes.join(comp, F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "best")
-    stay = cut(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("_stays")))
-    kept = docs.select("*", key.alias("_key")).join(stay, F.col("_key") == F.col("_stays"), "left_semi").dropDuplicates(["_key"])
+    stay = cut(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("__brindle_stays")))
+    kept = docs.select("*", key.alias("__brindle_key")).join(stay, F.col("__brindle_key") == F.col("__brindle_stays"), "left_semi").dropDuplicates(["__brindle_key"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

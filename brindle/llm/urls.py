@@ -121,14 +121,14 @@ def judge(pages: DataFrame, weights: list[float], url_col: str = "url", rules: t
     host, path = host_and_path(F.col(f"`{url_col}`"))
     d = d.select(*cols, host.alias("host"), path.alias("path"))
     g = grams(F.col("host"), F.col("path"), len(weights) - 1)
-    d = d.select(*cols, "host", "path", g.alias("_g"))
+    d = d.select(*cols, "host", "path", g.alias("__brindle_grams"))
     table_ = F.array(*[F.lit(x) for x in weights[:-1]])
-    score = F.lit(weights[-1]) + F.aggregate("_g", F.lit(0.0), lambda s, b: s + F.get(table_, b)) / F.sqrt(F.greatest(F.size("_g"), F.lit(1)).cast("double"))
+    score = F.lit(weights[-1]) + F.aggregate("__brindle_grams", F.lit(0.0), lambda s, b: s + F.get(table_, b)) / F.sqrt(F.greatest(F.size("__brindle_grams"), F.lit(1)).cast("double"))
     empty = (F.col("host") == "") & (F.col("path") == "")
     p = 1 / (1 + F.exp(-F.when(empty, F.lit(weights[-1])).otherwise(score)))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    d = d.withColumn("block_probability", p).withColumn("rule", rule).withColumn("_said", verdict)
-    said = F.coalesce("_said", F.when(F.col("block_probability") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
+    d = d.withColumn("block_probability", p).withColumn("rule", rule).withColumn("__brindle_said", verdict)
+    said = F.coalesce("__brindle_said", F.when(F.col("block_probability") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return d.select(*cols, "host", "path", "rule", said.alias("verdict"), "block_probability")
 
 
