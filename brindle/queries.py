@@ -421,7 +421,7 @@ CODE_SQL = f"""{P_SQL}, zz AS (SELECT len, ((len + {S_CODE - 1}) // {S_CODE} + 6
 cd AS (SELECT i AS slice, z, rpad(substr(h, (2 * i * z + 1)::BIGINT, (2 * z)::BIGINT), (2 * z)::INT, '0') AS h FROM w0, zz, unnest(range(0, (len + z - 1) // z)) AS t(i))"""
 
 
-@query("gf8_encode", f"""WITH {GF_SQL}, {CODE_SQL}, b AS (SELECT slice, p, ('0x' || substr(h, (2 * p + 1)::BIGINT, 2))::INT AS v FROM cd, unnest(range(0, z)) AS t(p)),
+@query("gf8_encode", f"""WITH {GF_SQL}, {CODE_SQL}, hx AS (SELECT slice, regexp_extract_all(h, '..') AS hs FROM cd), b AS (SELECT slice, p - 1 AS p, ('0x' || x2)::INT AS v FROM (SELECT slice, unnest(hs) AS x2, generate_subscripts(hs, 1) AS p FROM hx)),
 c AS (SELECT e, s, (255 - q.i) % 255 AS lg FROM unnest(range(0, {R_CODE})) AS a(e), unnest(range(0, {S_CODE})) AS z(s) JOIN g q ON q.x = xor((255 - e)::INT, s::INT)),
 m AS (SELECT e, p, bit_xor(coalesce(y.x, 0)) AS v FROM b JOIN c ON c.s = b.slice LEFT JOIN g w ON w.x = b.v LEFT JOIN g y ON y.i = (w.i + c.lg) % 255 GROUP BY e, p)
 SELECT e AS exponent, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY p))) AS digest FROM m GROUP BY e""")
