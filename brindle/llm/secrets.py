@@ -137,11 +137,13 @@ def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(key, rules): rows with all trigrams of one alternative of a rule."""
-    terms = [(r.kind, n, len(alt), t) for r in rules for n, alt in enumerate(trigram_query(r.pattern)) for t in sorted(alt)]
+    """(key, kinds): rows with all trigrams of one alternative of a rule. A trigram counts once for a key, however many rows share the key."""
+    terms = [(r.kind, n, len(alt), t, i // 62, 1 << i % 62) for r in rules for n, alt in enumerate(trigram_query(r.pattern)) for i, t in enumerate(sorted(alt))]
     # one row for each trigram of a rule: as many as the rules' literals have letters
-    of = F.broadcast(index.sparkSession.createDataFrame(terms, "kind string, alt int, n_terms int, trigram string"))
-    met = index.join(of, "trigram").groupBy("key", "kind", "alt", "n_terms").agg(F.count("*").alias("n")).filter(F.col("n") == F.col("n_terms"))
+    of = F.broadcast(index.sparkSession.createDataFrame(terms, "kind string, alt int, n_terms int, trigram string, word int, bit long"))
+    words = [F.bit_or(F.when(F.col("word") == w, F.col("bit"))) for w in range(max(x[4] for x in terms) + 1)]
+    n_met = sum((F.bit_count(F.coalesce(w, F.lit(0).cast("long"))) for w in words), F.lit(0))
+    met = index.join(of, "trigram").groupBy("key", "kind", "alt", "n_terms").agg(n_met.alias("n")).filter(F.col("n") == F.col("n_terms"))
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 

@@ -72,6 +72,14 @@ def test_secrets_are_those_of_plain_search(spark, odd, none):
     assert secrets.scan(odd).count() == len(ODD) and secrets.scan(none).count() == 0
 
 
+def test_repeated_rows_keep_their_secrets(spark):
+    text = "password = hunter2x AKIA" + "Q" * 16 + " -----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36
+    rows = [(1, text), (1, text), (None, text), (None, text), (None, text), (2, text), (3, "AKIA" + "Z" * 16), (3, "AKIA" + "Z" * 16), (4, "kia aki"), (4, "kia aki")]
+    got = [(r["doc_id"], [(s["start"], s["kind"], s["end"]) for s in r["spans"]]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(((i, _plain_spans(t, secrets.BASE + secrets.ADDED)) for i, t in rows), key=str)
+    assert {"assign", "access"} <= {k for i, s in got if i == 1 for _, k, _ in s}
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.BASE + secrets.ADDED}
     assert q["access"] == [frozenset({"aki", "kia"})] and q["hex"] == [frozenset()]
