@@ -7,9 +7,12 @@ a pair of nodes beyond the budget is dropped. Groups emit a spanning forest of t
 beyond HOT fingerprints is first dealt out by pairs of sub-nodes on bits outside its block.
 
 For near copies of a given similarity (drop_near_copies), 64 bits are too few: texts whose five-word shingles have a Jaccard
-similarity of 0.8 differ in 15 % of the bits. There, fingerprints have WIDE * 64 bits; every 32-bit piece of them is joined with
-itself through its trie at 3 differing bits, and a pair found so is a link if the whole fingerprints differ in at most DIFFER
-bits. Expected for pairs at 0.8: 99 % meet in a piece, 98 % of those are within DIFFER; at 0.6 fewer than 1 % are.
+similarity of 0.8 differ in 15 % of the bits. There, fingerprints of the distinct shingles have WIDE * 64 bits; every 32-bit piece
+of them is joined with itself through its trie at 3 differing bits, and a pair found so is a candidate if the whole fingerprints
+differ in at most DIFFER bits. A candidate is a link only if the Jaccard similarity of its shingle hashes is SIMILARITY or more, so
+nothing goes for a likeness below that. Groups first give a forest of their candidates, and after its links are verified all
+candidates whose ends these don't connect, so no link is lost to a candidate that turns out to be none. Expected for pairs at 0.8: 99 % meet in a piece, and next
+to all of those are within DIFFER.
 
 Nulls: a null text counts as an empty one, whose fingerprint is zero. A null id links like any other, and a component's id is
 its smallest id that isn't null (null if there is none). Repeated rows each give a row. Other columns are ignored.
@@ -82,12 +85,13 @@ class _Forest:
             self.label[self.label == max(x, y)] = min(x, y)
 
 
-def trie_links(fps: np.ndarray, budget: int, top: int = 63, leaf: int = 4096, near=None) -> list[tuple[int, int]]:
+def trie_links(fps: np.ndarray, budget: int, top: int = 63, leaf: int = 4096, near=None, forest: _Forest | None = None) -> list[tuple[int, int]]:
     """Index pairs that connect what lies within `budget` bits among sorted unsigned fingerprints whose highest bit is `top`.
 
     Pairs of nodes with at most `leaf` pairs are compared at once. near(i, j), if given, tells which pairs are links.
+    `forest`, if given, is grown.
     """
-    forest = _Forest(len(fps))
+    forest = forest or _Forest(len(fps))
     todo = [(slice(0, len(fps)), slice(0, len(fps)), top, 0)]
     while todo:
         a, b, bit, differ = todo.pop()
@@ -125,11 +129,15 @@ def trie_links(fps: np.ndarray, budget: int, top: int = 63, leaf: int = 4096, ne
     return forest.links
 
 
-#: 64-bit words of a wide fingerprint, bits of a piece, bits that may differ in a piece and in all.
+#: 64-bit words of a wide fingerprint, bits of a piece, bits that may differ in a piece and in all of a candidate.
 WIDE = 8
 PIECE_BITS = 32
 PIECE_BUDGET = 3
-DIFFER = 94
+DIFFER = 112
+#: Jaccard similarity of a link, in 1/10000.
+SIMILARITY = 8000
+#: Candidates that a group holds before those within trees are dropped.
+HELD = 1 << 20
 
 
 def _ones(values: np.ndarray) -> np.ndarray:
@@ -143,14 +151,21 @@ def _ones(values: np.ndarray) -> np.ndarray:
     return ones
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE) -> bytes:
-    """words * 8 bytes, as fingerprint() but from `words` mixes of each shingle's hash; zeros where there is no word."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's word shingles (of all its words, where there are fewer), in order."""
     got = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not got:
-        return bytes(words * 8)
+        return np.zeros(0, np.uint64)
     grams = [b" ".join(got)] if len(got) < shingle else map(b" ".join, zip(*(got[i:] for i in range(shingle))))
     hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(g, SEED) for g in grams], np.uint64)[:, None]
+    return np.unique(np.array([hashed(g, SEED) for g in grams], np.uint64))
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE) -> bytes:
+    """words * 8 bytes, as fingerprint() but from `words` mixes of each distinct shingle's hash; zeros where there is no word."""
+    h = shingle_hashes(text, shingle)[:, None]
+    if not len(h):
+        return bytes(words * 8)
     ones = np.zeros(words * 64, np.int64)
     for at in range(0, len(h), 1 << 15):
         x = h[at : at + (1 << 15)] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +176,7 @@ def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE) -> b
 
 
 def _wide_rows(crowded: frozenset[int], counting: bool):
-    """Classes (cid, wide) to (key, piece, cid, wide): a row for each block of each piece, and for sub-node pairs of crowded keys."""
+    """Classes (cid, wide, root) to (key, piece, cid, wide, root): a row for each block of each piece, and for sub-node pairs of crowded keys."""
     n_blocks = PIECE_BUDGET + 1
     width = PIECE_BITS // n_blocks
     masks = np.array([m for m in range(1 << width) if m.bit_count() <= PIECE_BUDGET], np.int64)
@@ -190,16 +205,43 @@ def _wide_rows(crowded: frozenset[int], counting: bool):
                             at_row = np.r_[at_row[~full], i]
                             key = np.r_[key[~full], (key[i] + 1) << 32 | pair]
                         rows = pa.array(at_row)
-                        yield pa.record_batch([pa.array(key), pa.array(piece[at_row]), b.column(0).take(rows), b.column(1).take(rows)], ["key", "piece", "cid", "wide"])
+                        yield pa.record_batch([pa.array(key), pa.array(piece[at_row]), b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows)], ["key", "piece", "cid", "wide", "root"])
 
     return run
 
 
-def _wide_links(differ: int):
+class _Candidates:
+    """Pairs of a group's fingerprints within `differ` bits and of different roots: a forest of those within `close`, and all that it doesn't connect."""
+
+    def __init__(self, wide: np.ndarray, root: np.ndarray, differ: int, close: int) -> None:
+        self.wide, self.differ, self.close = wide, differ, close
+        self.forest, self.far, self.held = _Forest(len(wide)), [], 0
+        self.forest.label = np.unique(root, return_inverse=True)[1]
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        bits = np.bitwise_count(self.wide[i] ^ self.wide[j]).sum(axis=1, dtype=np.int64)
+        far = (bits > self.close) & (bits <= self.differ)
+        if far.any():
+            self.far.append(np.stack([i[far], j[far]]))
+            self.held += int(far.sum())
+            if self.held > HELD:
+                self.far = [self.apart()]
+                self.held = 0
+        return bits <= self.close
+
+    def apart(self) -> np.ndarray:
+        i, j = np.concatenate([np.zeros((2, 0), np.int64), *self.far], axis=1)
+        return np.stack([i, j])[:, self.forest.label[i] != self.forest.label[j]]
+
+    def pairs(self) -> np.ndarray:
+        return np.concatenate([np.array(self.forest.links, np.int64).reshape(-1, 2).T, self.apart()], axis=1)
+
+
+def _wide_links(differ: int, close: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            keys, piece, cid = (t.column(i).to_numpy() for i in (0, 1, 2))
+            keys, piece, cid, root = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
             wide = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(len(t), -1)
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             a, b = [], []
@@ -208,10 +250,12 @@ def _wide_links(differ: int):
                     continue
                 order = np.argsort(piece[s:e], kind="stable")
                 own, ids = wide[s:e][order], cid[s:e][order]
-                near = lambda i, j, own=own: np.bitwise_count(own[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= differ
-                for i, j in trie_links(piece[s:e][order].astype(np.uint64), PIECE_BUDGET, PIECE_BITS - 1, 1 << 16, near):
-                    a.append(ids[i])
-                    b.append(ids[j])
+                found = _Candidates(own, root[s:e][order], differ, close)
+                trie_links(piece[s:e][order].astype(np.uint64), PIECE_BUDGET, PIECE_BITS - 1, 1 << 16, found.near, found.forest)
+                i, j = found.pairs()
+                a.append(ids[i])
+                b.append(ids[j])
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -234,7 +278,34 @@ def _wide_links(differ: int):
     return run
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, differ: int = DIFFER, hot: int = HOT) -> DataFrame:
+def _candidates(classes: DataFrame, differ: int, close: int, hot: int) -> DataFrame:
+    """Rows (a, b), a > b: candidates among classes (cid, wide, root)."""
+    counts = classes.mapInArrow(_wide_rows(frozenset(), True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
+    crowded = frozenset(r["key"] for r in counts.collect())  # of WIDE * 2 * (PIECE_BUDGET + 1) * 256 keys at most
+    rows = classes.mapInArrow(_wide_rows(crowded, False), "key long, piece long, cid long, wide binary, root long")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(differ, close), "a long, b long")
+    return found.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _alike(candidates: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """The candidates (a, b) whose shingle sets have a Jaccard similarity of `similarity` / 10000 or more; texts has (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "grams"])
+
+    pairs = cut(candidates)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    # one text stands for a class, whose fingerprints are equal
+    of = classes.join(nodes, "cid", "left_semi").select("cid", F.col("best.key").alias("of_key"))
+    sets = cut(texts.join(of, F.col("key") == F.col("of_key")).select("cid", "text").dropDuplicates(["cid"]).mapInArrow(run, "cid long, grams array<long>"))
+    x, y = (sets.select(F.col("cid").alias(c), F.col("grams").alias(f"of_{c}")) for c in ("a", "b"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
+    return both.filter(F.col("n") * 10_000 >= (F.size("of_a") + F.size("of_b") - F.col("n")) * similarity).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, differ: int = DIFFER, hot: int = HOT, similarity: int = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies: the one of the smallest id (nulls last). Rows and columns stay as they are."""
     key = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
 
@@ -252,11 +323,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fps = src.mapInArrow(run, "key long, doc_id long, wide binary")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     classes = cut(fps.groupBy("wide").agg(best.alias("best")).withColumn("cid", F.xxhash64("wide")))
-    counts = classes.select("cid", "wide").mapInArrow(_wide_rows(frozenset(), True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
-    crowded = frozenset(r["key"] for r in counts.collect())  # of WIDE * 2 * (PIECE_BUDGET + 1) * 256 keys at most
-    rows = classes.select("cid", "wide").mapInArrow(_wide_rows(crowded, False), "key long, piece long, cid long, wide binary")
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(differ), "a long, b long")
-    comp = components(found)
+    texts = src.select("key", "text")
+    # a forest of the candidates first; then all that its verified links don't connect, among classes that have a candidate
+    first = cut(_candidates(classes.select("cid", "wide", F.col("cid").alias("root")), differ, differ, hot))
+    sure = cut(_alike(first, classes, texts, shingle, similarity))
+    comp = cut(components(sure))
+    met = classes.join(first.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
+    some = cut(met.join(comp, F.col("cid") == F.col("node"), "left").select("cid", "wide", F.coalesce("root", "cid").alias("root")))
+    rest = cut(_alike(_candidates(some, differ, -1, hot).join(first, ["a", "b"], "left_anti"), classes, texts, shingle, similarity))
+    comp = components(sure.union(rest))
     rooted = classes.join(comp, F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "best")
     stay = cut(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("__brindle_stays")))
     kept = docs.select("*", key.alias("__brindle_key")).join(stay, F.col("__brindle_key") == F.col("__brindle_stays"), "left_semi").dropDuplicates(["__brindle_key"])

@@ -304,6 +304,32 @@ def test_near_copies_go_and_others_stay(spark, odd, none):
     assert got.columns == odd.columns and got.filter("doc_id = 1").count() == 1 and simhash.drop_near_copies(none).count() == 0
 
 
+def test_what_goes_has_a_similarity_of_four_fifths(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, gone = [], set()
+    for i, keep in enumerate([345, 348, 350, 352, 354] * 4 + [365, 370, 380, 390, 400] * 4):  # of 400 words: 0.73 to 0.78, 0.83 to 1
+        base = word(400)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:keep] + word(400 - keep)))]
+        gone |= {2 * i + 1} if keep >= 365 else set()
+    line = word(8)  # repeats make like fingerprints, not like sets
+    rows += [(1000 + i, " ".join(line * 40 + word(30))) for i in range(4)]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
+    assert {i for i, _ in rows} - {r["doc_id"] for r in got} == gone
+
+
+def test_near_copies_are_those_of_all_pairs(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    sets = {}
+    for r in docs.orderBy("doc_id").collect():
+        w = r["text"].encode().lower().split()
+        sets.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))), r["doc_id"])
+    s = list(sets)
+    near = [(i, j) for i in range(len(s)) for j in range(i) if 0.8 * max(len(s[i]), len(s[j])) <= min(len(s[i]), len(s[j])) and 10 * (n := len(s[i] & s[j])) >= 8 * (len(s[i]) + len(s[j]) - n)]
+    want = {sets[s[i]] for i, c in enumerate(_components(len(s), near)) if i == c}
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs).select("doc_id").collect()} == want and len(near) >= 5
+
+
 # ---- op7
 
 
