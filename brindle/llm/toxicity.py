@@ -7,8 +7,8 @@ penalty select the words that tell, and a refit without it gives them their weig
 sum of P(grade > k) over k.
 
 Nulls: a null text has no words and a severity from the thresholds alone; rows whose id or grade is null aren't trained on; a null
-id is scored. Repeated rows each give a row. Texts are read whole. With no labelled rows of two grades at least, training
-fails with ValueError.
+id is scored. Repeated rows each give a row. Texts are read whole. With labelled rows of one grade only, every text gets that
+grade; without any, grade 0. Grades below 0 fail with ValueError.
 """
 
 from __future__ import annotations
@@ -133,6 +133,12 @@ def _descend(features: list[np.ndarray], grades: list[int], steps: int, penalty:
     return Model(kept[told], w[told], b)
 
 
+def constant(grade: int) -> Model:
+    """A model without features, by which every text has `grade`; thresholds as fit() has them for a share of all or none."""
+    share = np.clip((grade > np.arange(max(1, grade))).astype(float), 1e-4, 1 - 1e-4)
+    return Model(np.zeros(0, np.int64), np.zeros(0), np.log((1 - share) / share))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", grade_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """A model from the labelled rows of docs, max_rows of them at most (by hash of the id, then grade; an id's texts in order)."""
     known = labels.select(F.col(f"`{label_id_col}`").cast("long").alias("l_id"), F.col(f"`{grade_col}`").cast("int").alias("grade")).filter("l_id is not null and grade is not null").groupBy("l_id").agg(F.max("grade").alias("grade"))
@@ -146,8 +152,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # texts stay on the executors; the driver gets max_rows lists of features
     got = rows.mapInArrow(told, "h long, d_id long, grade int, features array<int>").orderBy("h", "d_id", "features").limit(max_rows).select("grade", "features").toArrow()
+    grades = got.column("grade").to_pylist()
+    if len(set(grades)) < 2 and min(grades, default=0) >= 0:
+        return constant(max(grades, default=0))
     lists = got.column("features").combine_chunks()
-    return fit([x.values.to_numpy() for x in lists], got.column("grade").to_pylist())
+    return fit([x.values.to_numpy() for x in lists], grades)
 
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -461,6 +461,21 @@ def test_ordinal_grades(spark, odd, none):
         toxicity.fit(toxicity.features_of(["a", "b"]), [0, 0])
 
 
+def test_toxicity_with_labels_of_one_grade_or_none(spark, odd, none, tmp_path):
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 8)], "doc_id long, toxic int")
+    for docs, some, want in ((odd, labels.limit(0), 0), (odd, labels, 1), (odd, labels.select("doc_id", F.lit(0).alias("toxic")), 0), (odd, labels.select("doc_id", F.lit(2).alias("toxic")), 2), (none, labels, 0)):
+        model = toxicity.train(docs, some)
+        got = [(r["grade"], round(r["severity"], 2)) for r in toxicity.grade(odd, model).collect()]
+        assert got == [(want, want)] * len(ODD)
+    import corpus_pipeline as p
+
+    for _, stage in p.STAGES:
+        assert stage(spark, none, SF).count() == 0
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.query(spark, str(tmp_path)).filter("kept").count() == len(ODD)
+
+
 # ---- pipeline
 
 
