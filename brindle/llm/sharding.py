@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. Law `rows`: shards' counts differ by one at most. Every document starts with a shard by
 hash. In each round the linked documents that haven't settled look at their neighbours' shards (a Spark join of groups with
-counts by shard) and all of a group move to the shard where most of them are, among shards with room, as far as the shard's
-quota allows; large groups move first. A group that is larger than a shard is first cut into parts as large as a shard, which is
+counts by shard) and all of a group move to the shard where most of them are (of several, to one by hash), among shards with room, as far as the
+shard's quota allows; large groups move first, and rounds go on until no shard has room for a group that waits. A group that is larger than a shard is first cut into parts as large as a shard, which is
 as few parts as can be. Documents without links then fill the shards exactly, so an edge is cut only where quotas force it.
 
 The driver holds one number for each shard. Groups meet only as counts; ranks are running counts over hash buckets, so a text
@@ -15,13 +15,15 @@ are documents of their own. An empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import chain, repeat
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import buckets_for, cut, running, table
 
 SHARDS = 24
-#: A round takes groups of at least this share of a shard; the last ones take all that is left.
+#: A round takes groups of at least this share of a shard; the last ones take all that is left, and are repeated while any is taken.
 ROUNDS = (2, 4, 8, 32, 128, 0, 0)
 
 
@@ -32,12 +34,17 @@ def _votes(linked: DataFrame) -> DataFrame:
 
 
 def _choice(room: list[int]) -> Column:
-    """The shard with room for all of a part that most of its documents are on; else the one with the most room."""
+    """The shard with room for all of a part that most of its documents are on; else one with room by hash."""
     free = F.lit(room)
-    fits = F.filter("votes", lambda v: F.get(free, v["label"]) >= F.col("size"))
-    best = F.array_max(F.transform(fits, lambda v: F.struct(v["n"].alias("n"), (-v["label"]).alias("s"))))
-    most = max(range(len(room)), key=room.__getitem__)
-    return F.coalesce(-best["s"], F.when(F.col("size") <= room[most], F.lit(most)))
+
+    def first(n: Column, shard: Column) -> Column:
+        return F.struct(n.alias("n"), F.xxhash64("g", "part", shard).alias("h"), shard.alias("s"))
+
+    voted = F.filter("votes", lambda v: F.get(free, v["label"]) >= F.col("size"))
+    best = F.array_max(F.transform(voted, lambda v: first(v["n"], v["label"])))
+    fits = F.filter(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.get(free, s) >= F.col("size"))
+    other = F.array_max(F.transform(fits, lambda s: first(F.lit(0).cast("long"), s)))
+    return F.coalesce(best["s"], other["s"])
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -54,7 +61,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     linked = running(marked.filter("in_group > 1"), "nth", F.lit(1), ["g"], ["doc_id", "label"], buckets_for(n))
     linked = cut(linked.withColumn("part", F.floor(F.col("nth") / max(1, n // shards)).cast("long")).drop("nth", "in_group"))
     waiting, room, settled = cut(_votes(linked)), list(quota), []
-    for share in ROUNDS:
+    for share in chain(ROUNDS, repeat(0)):
         # rounds by size; a part needs at least one document's room
         least = n // shards // share if share else 0
         turn = waiting.filter(F.col("size") >= least).withColumn("to", _choice(room)).filter("to is not null")

@@ -162,6 +162,13 @@ def test_shards_are_even_and_groups_whole(spark, odd, none):
     assert sharding.assign(odd).count() == len(ODD) and sharding.assign(none).count() == 0
 
 
+def test_pairs_stay_whole_where_shards_have_room(spark):
+    rows = [(i, f"pair {i // 2}") for i in range(2400)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=24).toPandas()
+    assert got.groupby("shard").size().tolist() == [100] * 24
+    assert (got.groupby(got.doc_id // 2).shard.nunique() == 1).all()
+
+
 # ---- op4
 
 
