@@ -60,6 +60,25 @@ def running(df: DataFrame, name: str, weight: Column, by: list[str], tie: list[s
     return d.join(sums, cond, "left").withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: list[str], rows: int, count: str = "n", each: int = 50_000) -> DataFrame:
+    """left joined with right (one row for each key, with its rows in left as column `count`); a key of more than `each` rows is dealt out by `salt`.
+
+    rows: how many left has at most; a smaller table has no such key. right should be a written table or cheap.
+    """
+    if rows <= each:
+        return left.join(right.drop(count), key)
+    parts = F.ceil(F.col(count) / each).cast("int")
+    hot = right.filter(F.col(count) > each).select(key, parts.alias("__parts"))
+    n = hot.count()
+    if not n:
+        return left.join(right.drop(count), key)
+    side = F.broadcast(hot) if n <= 1_000_000 else hot
+    dealt = left.join(side, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    copies = F.when(F.col(count) > each, parts).otherwise(1)
+    several = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(count)
+    return dealt.join(several, [key, "__salt"]).drop("__salt")
+
+
 def let(value: Column, body) -> Column:
     """body of a value that is computed once for the row: inside a lambda, an expression would be computed for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

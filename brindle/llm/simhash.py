@@ -6,13 +6,7 @@ distinct fingerprints with equal block bits. In a group, pairs of trie nodes are
 a pair of nodes beyond the budget is dropped. Groups emit a spanning forest of their links, never all pairs; a group
 beyond HOT fingerprints is first dealt out by pairs of sub-nodes on bits outside its block.
 
-For near copies of a given similarity (drop_near_copies), 64 bits are too few: texts whose five-word shingles have a Jaccard
-similarity of 0.8 differ in 15 % of the bits. There, fingerprints of the distinct shingles have WIDE * 64 bits; every 32-bit piece
-of them is joined with itself through its trie at 3 differing bits, and a pair found so is a candidate if the whole fingerprints
-differ in at most DIFFER bits. A candidate is a link only if the Jaccard similarity of its shingle hashes is SIMILARITY or more, so
-nothing goes for a likeness below that. Groups first give a forest of their candidates, and after its links are verified all
-candidates whose ends these don't connect, so no link is lost to a candidate that turns out to be none. Expected for pairs at 0.8: 99 % meet in a piece, and next
-to all of those are within DIFFER.
+Near copies by the similarity of their shingles are in near_copies, which uses the same trie.
 
 Nulls: a null text counts as an empty one, whose fingerprint is zero. A null id links like any other, and a component's id is
 its smallest id that isn't null (null if there is none). Repeated rows each give a row. Other columns are ignored.
@@ -28,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, table
+from brindle.llm.common import cut, spread_join, table
 
 SEED = 42
 #: Fingerprints in one root group before it is dealt out by sub-node pairs.
@@ -65,16 +59,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class _Forest:
-    """Labels of the fingerprints of one group; join() keeps only links that connect two trees."""
+    """Labels of the fingerprints of one group; join() keeps only links that connect two trees, chosen at random if `rng` is given."""
 
-    def __init__(self, n: int) -> None:
-        self.label, self.links = np.arange(n), []
+    def __init__(self, n: int, rng: np.random.Generator | None = None) -> None:
+        self.label, self.links, self.rng = np.arange(n), [], rng
 
     def one_tree(self, a: slice, b: slice) -> bool:
         x = self.label[a.start]
         return bool((self.label[a] == x).all() and (self.label[b] == x).all())
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        if self.rng is not None and len(i) > 1:
+            order = self.rng.permutation(len(i))
+            i, j = i[order], j[order]
         while len(i):
             differ = self.label[i] != self.label[j]
             i, j = i[differ], j[differ]
@@ -129,17 +126,6 @@ def trie_links(fps: np.ndarray, budget: int, top: int = 63, leaf: int = 4096, ne
     return forest.links
 
 
-#: 64-bit words of a wide fingerprint, bits of a piece, bits that may differ in a piece and in all of a candidate.
-WIDE = 8
-PIECE_BITS = 32
-PIECE_BUDGET = 3
-DIFFER = 112
-#: Jaccard similarity of a link, in 1/10000.
-SIMILARITY = 8000
-#: Candidates that a group holds before those within trees are dropped.
-HELD = 1 << 20
-
-
 def _ones(values: np.ndarray) -> np.ndarray:
     """How many of the rows of (n, words) unsigned longs have each bit set."""
     n, words = values.shape
@@ -151,193 +137,6 @@ def _ones(values: np.ndarray) -> np.ndarray:
     return ones
 
 
-def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The distinct hashes of a text's word shingles (of all its words, where there are fewer), in order."""
-    got = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not got:
-        return np.zeros(0, np.uint64)
-    grams = [b" ".join(got)] if len(got) < shingle else map(b" ".join, zip(*(got[i:] for i in range(shingle))))
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.array([hashed(g, SEED) for g in grams], np.uint64))
-
-
-def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE) -> bytes:
-    """words * 8 bytes, as fingerprint() but from `words` mixes of each distinct shingle's hash; zeros where there is no word."""
-    h = shingle_hashes(text, shingle)[:, None]
-    if not len(h):
-        return bytes(words * 8)
-    ones = np.zeros(words * 64, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        x = h[at : at + (1 << 15)] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        ones += _ones(x ^ (x >> np.uint64(31)))
-    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
-
-
-def _wide_rows(crowded: frozenset[int], counting: bool):
-    """Classes (cid, wide, root) to (key, piece, cid, wide, root): a row for each block of each piece, and for sub-node pairs of crowded keys."""
-    n_blocks = PIECE_BUDGET + 1
-    width = PIECE_BITS // n_blocks
-    masks = np.array([m for m in range(1 << width) if m.bit_count() <= PIECE_BUDGET], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                cid = b.column(0).to_numpy(zero_copy_only=False)
-                wide = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(b.num_rows, -1)
-                for p in range(wide.shape[1]):
-                    piece = wide[:, p].astype(np.int64)
-                    for k in range(n_blocks):
-                        value = (piece >> (k * width)) & ((1 << width) - 1)
-                        key, at_row = (p * n_blocks + k) << width | value, np.arange(len(piece))
-                        if counting:
-                            u, n = np.unique(key, return_counts=True)
-                            yield pa.record_batch([pa.array(u), pa.array(n)], ["key", "n"])
-                            continue
-                        full = np.isin(key, np.fromiter(crowded, np.int64, len(crowded)))
-                        if full.any():
-                            sub = (piece >> ((k + 1) % n_blocks * width)) & ((1 << width) - 1)
-                            i = np.repeat(np.flatnonzero(full), len(masks))
-                            other = sub[i] ^ np.tile(masks, int(full.sum()))
-                            pair = np.minimum(sub[i], other) << width | np.maximum(sub[i], other)
-                            at_row = np.r_[at_row[~full], i]
-                            key = np.r_[key[~full], (key[i] + 1) << 32 | pair]
-                        rows = pa.array(at_row)
-                        yield pa.record_batch([pa.array(key), pa.array(piece[at_row]), b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows)], ["key", "piece", "cid", "wide", "root"])
-
-    return run
-
-
-class _Candidates:
-    """Pairs of a group's fingerprints within `differ` bits and of different roots: a forest of those within `close`, and all that it doesn't connect."""
-
-    def __init__(self, wide: np.ndarray, root: np.ndarray, differ: int, close: int) -> None:
-        self.wide, self.differ, self.close = wide, differ, close
-        self.forest, self.far, self.held = _Forest(len(wide)), [], 0
-        self.forest.label = np.unique(root, return_inverse=True)[1]
-
-    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        bits = np.bitwise_count(self.wide[i] ^ self.wide[j]).sum(axis=1, dtype=np.int64)
-        far = (bits > self.close) & (bits <= self.differ)
-        if far.any():
-            self.far.append(np.stack([i[far], j[far]]))
-            self.held += int(far.sum())
-            if self.held > HELD:
-                self.far = [self.apart()]
-                self.held = 0
-        return bits <= self.close
-
-    def apart(self) -> np.ndarray:
-        i, j = np.concatenate([np.zeros((2, 0), np.int64), *self.far], axis=1)
-        return np.stack([i, j])[:, self.forest.label[i] != self.forest.label[j]]
-
-    def pairs(self) -> np.ndarray:
-        return np.concatenate([np.array(self.forest.links, np.int64).reshape(-1, 2).T, self.apart()], axis=1)
-
-
-def _wide_links(differ: int, close: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            keys, piece, cid, root = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
-            wide = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(len(t), -1)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            a, b = [], []
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
-                if e - s < 2:
-                    continue
-                order = np.argsort(piece[s:e], kind="stable")
-                own, ids = wide[s:e][order], cid[s:e][order]
-                found = _Candidates(own, root[s:e][order], differ, close)
-                trie_links(piece[s:e][order].astype(np.uint64), PIECE_BUDGET, PIECE_BITS - 1, 1 << 16, found.near, found.forest)
-                i, j = found.pairs()
-                a.append(ids[i])
-                b.append(ids[j])
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = batch.column(0).to_numpy()
-            last = int(np.searchsorted(k, k[-1]))  # where the key begins that may go on
-            if held and (last or held[-1].column(0)[-1].as_py() != k[0]):
-                if last:
-                    held.append(batch.slice(0, last))
-                yield links(held)
-                held = []
-            elif last:
-                yield links([batch.slice(0, last)])
-            held.append(batch.slice(last))
-        if held:
-            yield links(held)
-
-    return run
-
-
-def _candidates(classes: DataFrame, differ: int, close: int, hot: int) -> DataFrame:
-    """Rows (a, b), a > b: candidates among classes (cid, wide, root)."""
-    counts = classes.mapInArrow(_wide_rows(frozenset(), True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
-    crowded = frozenset(r["key"] for r in counts.collect())  # of WIDE * 2 * (PIECE_BUDGET + 1) * 256 keys at most
-    rows = classes.mapInArrow(_wide_rows(crowded, False), "key long, piece long, cid long, wide binary, root long")
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(differ, close), "a long, b long")
-    return found.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _alike(candidates: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The candidates (a, b) whose shingle sets have a Jaccard similarity of `similarity` / 10000 or more; texts has (key, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "grams"])
-
-    pairs = cut(candidates)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    # one text stands for a class, whose fingerprints are equal
-    of = classes.join(nodes, "cid", "left_semi").select("cid", F.col("best.key").alias("of_key"))
-    sets = cut(texts.join(of, F.col("key") == F.col("of_key")).select("cid", "text").dropDuplicates(["cid"]).mapInArrow(run, "cid long, grams array<long>"))
-    x, y = (sets.select(F.col("cid").alias(c), F.col("grams").alias(f"of_{c}")) for c in ("a", "b"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
-    return both.filter(F.col("n") * 10_000 >= (F.size("of_a") + F.size("of_b") - F.col("n")) * similarity).select("a", "b")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, differ: int = DIFFER, hot: int = HOT, similarity: int = SIMILARITY) -> DataFrame:
-    """docs with one row of each group of near copies: the one of the smallest id (nulls last). Rows and columns stay as they are."""
-    key = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[str | None, bytes] = {}
-            out = []
-            for t in b.column(2).to_pylist():
-                if t not in seen:
-                    seen[t] = wide_fingerprint(t, shingle)
-                out.append(seen[t])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["key", "doc_id", "wide"])
-
-    src = docs.select(key.alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    fps = src.mapInArrow(run, "key long, doc_id long, wide binary")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    classes = cut(fps.groupBy("wide").agg(best.alias("best")).withColumn("cid", F.xxhash64("wide")))
-    texts = src.select("key", "text")
-    # a forest of the candidates first; then all that its verified links don't connect, among classes that have a candidate
-    first = cut(_candidates(classes.select("cid", "wide", F.col("cid").alias("root")), differ, differ, hot))
-    sure = cut(_alike(first, classes, texts, shingle, similarity))
-    comp = cut(components(sure))
-    met = classes.join(first.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
-    some = cut(met.join(comp, F.col("cid") == F.col("node"), "left").select("cid", "wide", F.coalesce("root", "cid").alias("root")))
-    rest = cut(_alike(_candidates(some, differ, -1, hot).join(first, ["a", "b"], "left_anti"), classes, texts, shingle, similarity))
-    comp = components(sure.union(rest))
-    rooted = classes.join(comp, F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "best")
-    stay = cut(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("__brindle_stays")))
-    kept = docs.select("*", key.alias("__brindle_key")).join(stay, F.col("__brindle_key") == F.col("__brindle_stays"), "left_semi").dropDuplicates(["__brindle_key"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def _links_of_groups(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
@@ -405,14 +204,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # large star: the larger neighbours of u go to the smallest of u and its neighbours
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = spread_join(both.filter("b > a"), least, "a", ["b"], was[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = cut(large)
         # small star: a > b in every row; u and its smaller neighbours go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        moved = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(moved.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = spread_join(large, low, "a", ["b"], was[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = cut(moved.union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         now = summary(e)
         if now == was:
             break
@@ -425,14 +224,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id, n_links): one for each row of docs. n_links counts the fingerprint's direct tree links."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     found = cut(links(classes.select("fp"), budget, hot))
     comp = components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    rooted = classes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = cut(rooted.join(least, "root").join(degree, F.col("fp") == F.col("node"), "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    rooted = classes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_root"))
+    n_classes = classes.count()
+    named = spread_join(rooted, least.withColumnRenamed("n_root", "n_of"), "root", ["fp"], n_classes, "n_of")
+    named = cut(named.join(degree, F.col("fp") == F.col("node"), "left").select("fp", "n", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    out = spread_join(fps, named, "fp", ["doc_id"], n_classes and fps.count())
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
