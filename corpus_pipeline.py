@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from brindle.llm import decontaminate, line_dedup, near_copies, packing, toxicity
 from brindle.llm.common import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,7 +30,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.drop_near_copies(docs).select(*COLUMNS)
+    return near_copies.drop_near_copies(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
