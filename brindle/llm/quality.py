@@ -2,9 +2,11 @@
 
 Each document's measures go, as whole numbers, to log-linear histograms: 16 buckets for each doubling, so a quantile is told to
 1/16 of its value. Histograms merge by adding counts: of partitions to a (lang, source) sketch, of those to a language's, of
-those to one of all documents. A measure's fences are max(q995, q75 + 3 (q75 - q25)) and, where a low value is bad as well,
-min(q005, q25 - 3 (q75 - q25)), from the smallest of these sketches that has MIN_DOCS documents. A document beyond a fence of its
-own language and source isn't kept; sketches count all documents, and no cutoff of a measure is fixed.
+those to one of all documents. A measure's fences are median + FENCE * max(median - lower quartile, its floor) and, where a low value is
+bad as well, median - FENCE * max(upper quartile - median, its floor), from the smallest of these sketches that has MIN_DOCS documents.
+So junk on one side of the median, up to half of a group, doesn't widen the fence that it should meet, and however many documents lie
+beyond a fence, none is kept; floors are the least spread where half a group has one value. A document is held against the fences of its
+own language and source; sketches count all documents.
 
 Nulls: a null text counts as empty. Null lang or source are groups of their own, null ids are carried. Repeated rows each count and
 give a row. A text without words has measures 0 and fails the base rules.
@@ -22,12 +24,14 @@ RUN = 5
 MIN_DOCS = 200
 #: Groups whose thresholds (about 100 bytes each) are broadcast at most; beyond, the join shuffles.
 BROADCAST_GROUPS = 50_000
-#: measure: (numerator, denominator) in units of 1/10000, and whether a low value is bad as well
+#: Spreads between median and fence.
+FENCE = 6
+#: measure: (numerator, denominator) in units of 1/10000, whether a low value is bad as well, and the least spread in those units
 MEASURES = {
-    "symbols": ("n_symbols", "word_chars", False),
-    "dup_lines": ("n_dup_lines", "n_lines", False),
-    "repeats": ("n_repeat_words", "n_words", False),
-    "word_length": ("word_chars", "n_words", True),
+    "symbols": ("n_symbols", "word_chars", False, 50),
+    "dup_lines": ("n_dup_lines", "n_lines", False, 500),
+    "repeats": ("n_repeat_words", "n_words", False, 250),
+    "word_length": ("word_chars", "n_words", True, 3000),
 }
 
 
@@ -70,7 +74,7 @@ def bucket(x: Column) -> Column:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(level, lang, source, measure, bucket, n): histograms of each (lang, source), each language and all documents."""
-    each = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(_value(num, den)).alias("bucket")) for m, (num, den, _) in MEASURES.items()])
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(_value(num, den)).alias("bucket")) for m, (num, den, *_) in MEASURES.items()])
     own = measured.select("lang", "source", F.explode(each).alias("e")).groupBy("lang", "source", "e.measure", "e.bucket").agg(F.count("*").alias("n"))
     none = F.lit(None).cast("string")
     of_lang = own.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")).withColumn("source", none)
@@ -79,21 +83,28 @@ def sketches(measured: DataFrame) -> DataFrame:
     return own.withColumn("level", F.lit(0)).select(*cols).union(of_lang.withColumn("level", F.lit(1)).select(*cols)).union(of_all.withColumn("level", F.lit(2)).select(*cols))
 
 
+def value_of(b: Column) -> Column:
+    """The smallest value of a bucket."""
+    shift = F.greatest(F.floor(b / 16) - 1, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", (b - shift * 16).cast("long"), shift)
+
+
 def quantiles(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, measure, total, q05, q25, q75, q995) in buckets; q05 stands for 0.005."""
+    """(level, lang, source, measure, total, q25, q50, q75): quartiles as values."""
     by = ["level", "lang", "source", "measure"]
     w = Window.partitionBy(*by).orderBy("bucket")
     s = sketch.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
 
-    def q(permille: int) -> Column:
-        return F.min(F.when(F.col("upto") * 1000 >= F.col("total") * permille, F.col("bucket")))
+    def q(percent: int) -> Column:
+        return value_of(F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("bucket"))))
 
-    return s.groupBy(*by, "total").agg(q(5).alias("q05"), q(250).alias("q25"), q(750).alias("q75"), q(995).alias("q995"))
+    return s.groupBy(*by, "total").agg(*[q(p).alias(f"q{p}") for p in (25, 50, 75)])
 
 
 def thresholds(measured: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, source, and for each measure lo_ and hi_, in buckets; kept documents lie between)."""
-    q = quantiles(sketches(measured)).withColumn("lo", F.least("q05", F.col("q25") - 3 * (F.col("q75") - F.col("q25")))).withColumn("hi", F.greatest("q995", F.col("q75") + 3 * (F.col("q75") - F.col("q25"))))
+    """(lang, source, and for each measure lo_ and hi_, as values; kept documents lie between)."""
+    least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(floor)) for m, (*_, floor) in MEASURES.items()])
+    q = quantiles(sketches(measured)).withColumn("lo", F.col("q50") - FENCE * F.greatest(F.col("q75") - F.col("q50"), least)).withColumn("hi", F.col("q50") + FENCE * F.greatest(F.col("q50") - F.col("q25"), least))
     fence = F.struct("lo", "hi")
     wide = q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("measure") == m, fence)).alias(m) for m in MEASURES])
     own = wide.filter("level = 0").alias("o")
@@ -115,10 +126,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     d = measured.join(side, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
 
     def beyond(m: str, num: str, den: str, both: bool) -> Column:
-        b = bucket(_value(num, den))
-        return (b > F.col(f"hi_{m}")) | (b < F.col(f"lo_{m}")) if both else b > F.col(f"hi_{m}")
+        x = _value(num, den)
+        return (x > F.col(f"hi_{m}")) | (x < F.col(f"lo_{m}")) if both else x > F.col(f"hi_{m}")
 
-    outside = F.array_compact(F.array(*[F.when(beyond(m, *x), F.lit(m)) for m, x in MEASURES.items()]))
+    outside = F.array_compact(F.array(*[F.when(beyond(m, *x[:3]), F.lit(m)) for m, x in MEASURES.items()]))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return d.select(*measured.columns, failed.alias("base_failed"), outside.alias("outside")).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
 
@@ -127,10 +138,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _oracle() -> str:
-    each = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {both} AS two_sided, CASE WHEN {den} > 0 THEN floor({num} * 10000 / {den})::BIGINT ELSE 0 END AS x FROM base" for m, (num, den, both) in MEASURES.items())
-    fences = "least(q05, q25 - 3 * (q75 - q25)) AS lo, greatest(q995, q75 + 3 * (q75 - q25)) AS hi"
-    qs = ", ".join(f"min(bucket) FILTER (upto * 1000 >= total * {p}) AS {n}" for n, p in (("q05", 5), ("q25", 250), ("q75", 750), ("q995", 995)))
+def oracle(min_docs: int = MIN_DOCS) -> str:
+    each = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {both} AS two_sided, CASE WHEN {den} > 0 THEN floor({num} * 10000 / {den})::BIGINT ELSE 0 END AS x, {floor} AS floor FROM base" for m, (num, den, both, floor) in MEASURES.items())
+    fences = f"q50 - {FENCE} * greatest(q75 - q50, floor) AS lo, q50 + {FENCE} * greatest(q50 - q25, floor) AS hi"
+    qs = ", ".join(f"min(low) FILTER (upto * 100 >= total * {p}) AS q{p}" for p in (25, 50, 75))
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -142,20 +153,20 @@ base AS (SELECT l.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list
   (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM l LEFT JOIN reps ON l.doc_id = reps.doc_id),
 m AS ({each}),
-b AS (SELECT *, greatest(length(bin(x)) - 5, 0) * 16 + (x >> greatest(length(bin(x)) - 5, 0)) AS bucket FROM m),
-s AS (SELECT 0 AS level, lang, source, measure, bucket, count(*) AS n FROM b GROUP BY lang, source, measure, bucket
-  UNION ALL SELECT 1, lang, NULL, measure, bucket, count(*) FROM b GROUP BY lang, measure, bucket
-  UNION ALL SELECT 2, NULL, NULL, measure, bucket, count(*) FROM b GROUP BY measure, bucket),
-c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM s),
-q AS (SELECT level, lang, source, measure, total, {qs} FROM c GROUP BY level, lang, source, measure, total),
+b AS (SELECT *, (x >> greatest(length(bin(x)) - 5, 0)) << greatest(length(bin(x)) - 5, 0) AS low FROM m),
+s AS (SELECT 0 AS level, lang, source, measure, floor, low, count(*) AS n FROM b GROUP BY lang, source, measure, floor, low
+  UNION ALL SELECT 1, lang, NULL, measure, floor, low, count(*) FROM b GROUP BY lang, measure, floor, low
+  UNION ALL SELECT 2, NULL, NULL, measure, floor, low, count(*) FROM b GROUP BY measure, floor, low),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM s),
+q AS (SELECT level, lang, source, measure, floor, total, {qs} FROM c GROUP BY level, lang, source, measure, floor, total),
 f AS (SELECT *, {fences} FROM q),
-pick AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.total >= {MIN_DOCS} THEN o.lo WHEN l.total >= {MIN_DOCS} THEN l.lo ELSE t.lo END AS lo, CASE WHEN o.total >= {MIN_DOCS} THEN o.hi WHEN l.total >= {MIN_DOCS} THEN l.hi ELSE t.hi END AS hi
+pick AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.total >= {min_docs} THEN o.lo WHEN l.total >= {min_docs} THEN l.lo ELSE t.lo END AS lo, CASE WHEN o.total >= {min_docs} THEN o.hi WHEN l.total >= {min_docs} THEN l.hi ELSE t.hi END AS hi
   FROM f o LEFT JOIN f l ON l.level = 1 AND l.measure = o.measure AND l.lang IS NOT DISTINCT FROM o.lang LEFT JOIN f t ON t.level = 2 AND t.measure = o.measure WHERE o.level = 0),
-bad AS (SELECT DISTINCT doc_id FROM b JOIN pick p ON p.measure = b.measure AND p.lang IS NOT DISTINCT FROM b.lang AND p.source IS NOT DISTINCT FROM b.source WHERE bucket > hi OR (two_sided AND bucket < lo))
+bad AS (SELECT DISTINCT doc_id FROM b JOIN pick p ON p.measure = b.measure AND p.lang IS NOT DISTINCT FROM b.lang AND p.source IS NOT DISTINCT FROM b.source WHERE x > hi OR (two_sided AND x < lo))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
 FROM base
 """
 
 
-ORACLE = _oracle()
+ORACLE = oracle()

@@ -1,9 +1,13 @@
 """URL filters: rules, then logistic regression on hashed character n-grams of host and path. DataFrame functions only.
 
-A URL that a rule fits gets the longest rule's verdict. Any other is scored: trigrams of host and path are hashed to BUCKETS
-features, a feature's value being its count over the square root of all trigrams, and a probability of 0.5 or more blocks.
-Training is full-batch gradient descent with momentum inside one SQL expression over the labelled table, which is small by contract
-(MAX_LABELLED rows; more is an error); its BUCKETS + 1 numbers are all that the driver sees and sends.
+A URL that a rule fits gets the longest rule's verdict. Any other is scored: trigrams of host and path, whose digits all
+count as 0, are hashed to BUCKETS features, a feature's value being its count over the square root of all trigrams, and a probability of 0.5 or more blocks.
+Training is full-batch gradient descent with momentum inside one SQL expression over a labelled table; of one with more than
+MAX_LABELLED rows, those with the smallest hash of their URL are taken. The expression's array of rows, a few hundred kB at most, is joined
+with the one row of its transpose. The BUCKETS + 1 numbers that come out are all that the driver sees and sends.
+
+The built-in table has whole URLs by rule: a topic's word, wanted or not, stands in hosts beside qualifiers that both classes share, and
+made-up names stand for sites of no topic, which are wanted; so the topic's trigrams tell, and not the qualifier's or the domain's.
 
 Nulls: a null URL, or one without "://", has an empty host and path; no rule fits and it is scored by the intercept alone.
 A null id is carried, repeated rows each give a row, and labelled rows with a null are left out. URLs of any length are read whole.
@@ -12,6 +16,7 @@ A null id is carried, repeated rows each give a row, and labelled rows with a nu
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,25 +25,36 @@ from brindle.llm.common import cut, let, table
 
 #: (rule's host and path, verdict)
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-BUCKETS = 2048
-STEPS = 150
-RATE = 3.0
+BUCKETS = 4096
+STEPS = 200
+RATE = 6.0
 MOMENTUM = 0.9
-DECAY = 2e-4
+DECAY = 3e-5
+#: Weight of an unwanted example: the table has a quarter as many of them.
+UNWANTED_WEIGHT = 4.0
 MAX_LABELLED = 2000
 
-#: The small labelled table: words of hosts and paths that are wanted (0) and unwanted (1), each with the forms that URLs take.
-_WANTED = "news blog docs wiki library university school science history museum health recipes travel weather garden music forum research journal guide learn article about help".split()
-_UNWANTED = "casino poker jackpot betting slots porn xxx adult escort nude viagra pills cialis pharmacy payday loan crypto-bonus warez crack keygen torrent spam click-win free-iphone".split()
-_FORMS = ("https://www.{w}-online.example.com/{w}/10", "http://site.example.net/{w}/page", "https://my{w}.example.org/")
-#: Wanted URLs are the common case, so they come in more forms: what resembles neither leans to allow.
-_MORE_FORMS = ("http://{w}.example.net/en/25", "https://m.{w}.example.com/de/676?page=2", "https://{w}er.example.net/fr/770#top")
+#: Topics of the labelled table.
+_WANTED = "news wiki library university school science history museum health recipes travel weather garden music forum research journal guide learn article help books photo sport market street farm river city cafe hotel bank energy space video radio track design craft".split()
+_UNWANTED = "casino poker jackpot betting bets slots roulette porn xxx adult escort nude sexcam viagra cialis pills pharmacy steroids payday loans bitcoin-bonus warez crack keygen torrent spam clickbait ads adserver popunder malware phishing replica-watches".split()
+_QUALIFIERS = "best my online free win top cheap big x".split()
+_SYLLABLES = "an ar be con de el er est fo ga hen in ion ka lo mar nor on or per que ra re san sh st ta the ti to tur un ver wes".split()
+_DOMAINS = ("example.com", "example.net", "example.org")
+_PLACES = ("/", "/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}", "/about", "/{n}/index.html")
+
+
+def _urls(name: str, k: int) -> list[str]:
+    """Four URLs of a site: its name alone, on a subdomain, before a qualifier and after one."""
+    q, d, at = _QUALIFIERS[k % len(_QUALIFIERS)], _DOMAINS, [x.format(n=(k * 37 + i * 911) % 9000) for i, x in enumerate(_PLACES)]
+    hosts = (f"{name}.{d[k % 3]}", f"{('www', 'm', 'blog')[k % 3]}.{name}.{d[(k + 1) % 3]}", f"{name}-{q}.{d[(k + 2) % 3]}", f"{q}{'-' * (k % 2)}{name}.{d[k % 3]}")
+    return [f"http{'s' * (i % 2)}://{h}{at[(k + i) % len(at)]}" for i, h in enumerate(hosts)]
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """(url, blocked): the built-in labelled table."""
-    rows = [(f.format(w=w), y) for y, words in ((0, _WANTED), (1, _UNWANTED)) for w in words for f in (_FORMS if y else _FORMS + _MORE_FORMS)]
-    return spark.createDataFrame(rows, "url string, blocked int")
+    """(url, blocked, site): the built-in labelled table; a site's URLs have one site."""
+    sites = [(w, 0) for w in _WANTED] + [(w, 1) for w in _UNWANTED]
+    sites += [("".join(_SYLLABLES[(i * m + i // 3) % len(_SYLLABLES)] for m in (1, 5, 11)[: 2 + i % 2]), 0) for i in range(90)]
+    return spark.createDataFrame([(u, y, name) for k, (name, y) in enumerate(sites) for u in _urls(name, k)], "url string, blocked int, site string")
 
 
 def _lower(x: Column) -> Column:
@@ -71,8 +87,10 @@ def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """Hashed trigrams of host and path, whose ends are marked; a trigram means the same in either."""
 
     def of(x: Column) -> Column:
-        marked = F.concat(F.lit("\x02"), x, F.lit("\x03"))
-        return F.transform(F.regexp_extract_all(marked, F.lit("(?s)(?=(...))"), F.lit(1)), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
+        marked = F.concat(F.lit("\x02"), F.translate(x, "123456789", "000000000"), F.lit("\x03"))
+        # by code points, as a pattern that looks ahead stops between the halves of a surrogate pair
+        three = let(F.split(marked, ""), lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda a, i: F.concat(a, F.get(c, i + 1), F.get(c, i + 2))))
+        return F.transform(three, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
 
     return F.concat(of(host), of(path))
 
@@ -83,11 +101,12 @@ def _dot(sparse: Column, dense: Column) -> Column:
 
 
 def train(examples: DataFrame, url_col: str = "url", label_col: str = "blocked", buckets: int = BUCKETS, steps: int = STEPS) -> list[float]:
-    """Weights of the buckets and, last, the intercept, from MAX_LABELLED rows at most."""
+    """Weights of the buckets and, last, the intercept, from MAX_LABELLED rows at most; all 0, which allows nothing, without any."""
     rows = examples.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{label_col}`").cast("double").alias("y")).filter("url is not null and y is not null")
+    rows = cut(rows.orderBy(F.xxhash64("url"), "url", "y").limit(MAX_LABELLED))
     n = rows.count()
-    if not 0 < n <= MAX_LABELLED:
-        raise ValueError(f"{n} labelled rows; 1 to {MAX_LABELLED} can be trained on")
+    if not n:
+        return [0.0] * (buckets + 1)
     host, path = host_and_path(F.col("url"))
     g = rows.select("url", "y", grams(host, path, buckets).alias("g"))
     norm = F.sqrt(F.greatest(F.size("g"), F.lit(1)).cast("double"))
@@ -103,7 +122,7 @@ def train(examples: DataFrame, url_col: str = "url", label_col: str = "blocked",
     one = cut(one.withColumn("k", F.lit(0)).join(xt, "k"))
 
     def step(at: Column, t: Column) -> Column:
-        errors = F.transform("x", lambda r, i: 1 / (1 + F.exp(-_dot(r, at["w"]))) - F.get("y", i))
+        errors = F.transform("x", lambda r, i: (1 / (1 + F.exp(-_dot(r, at["w"]))) - F.get("y", i)) * F.when(F.get("y", i) > 0, UNWANTED_WEIGHT).otherwise(1.0))
         slope = lambda err: F.transform(at["w"], lambda wj, j: _dot(F.get("xt", j), err) / n + DECAY * F.when(j < buckets, wj).otherwise(0.0))
         pace = let(errors, lambda err: F.zip_with(at["v"], slope(err), lambda v, d: MOMENTUM * v - RATE * d))
         return let(pace, lambda v: F.struct(F.zip_with(at["w"], v, lambda a, b: a + b).alias("w"), v.alias("v")))
@@ -139,7 +158,7 @@ def score_one(url: str | None, weights: list[float], hashed) -> float:
     cut = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
     host, rest = "".join(c.lower() if c.isascii() else c for c in rest[:cut]), rest[cut:]
     path = rest[: min([i for i in map(rest.find, "?#") if i >= 0], default=len(rest))]
-    got = [hashed(m[i : i + 3]) for m in ("\x02" + host + "\x03", "\x02" + path + "\x03") for i in range(len(m) - 2)]
+    got = [hashed(m[i : i + 3]) for m in (re.sub("[0-9]", "0", f"\x02{x}\x03") for x in (host, path)) for i in range(len(m) - 2)]
     score = weights[-1] + (sum(weights[b] for b in got) / math.sqrt(max(1, len(got))) if host or path else 0.0)
     return 1 / (1 + math.exp(-score))
 
