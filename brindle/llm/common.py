@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset: a temporary one if all runs on this machine, else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="brindle-"))
     return sc.getCheckpointDir()
 
 
@@ -33,6 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one or two numbers that are broadcast at most, and rows with a text key of 32 characters or a short list.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_WIDE_ROWS = 250_000
+
+
 def buckets_for(rows: int, rows_each: int = 50_000) -> int:
     return max(8, -(-rows // rows_each))
 
@@ -60,23 +68,23 @@ def running(df: DataFrame, name: str, weight: Column, by: list[str], tie: list[s
     return d.join(sums, cond, "left").withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, salt: list[str], rows: int, count: str = "n", each: int = 50_000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: list[str], rows: int, count: str = "n", each: int = 50_000, how: str = "inner") -> DataFrame:
     """left joined with right (one row for each key, with its rows in left as column `count`); a key of more than `each` rows is dealt out by `salt`.
 
-    rows: how many left has at most; a smaller table has no such key. right should be a written table or cheap.
+    rows: how many left has at most; a smaller table has no such key. right should be a written table or cheap. how: inner or left.
     """
     if rows <= each:
-        return left.join(right.drop(count), key)
+        return left.join(right.drop(count), key, how)
     parts = F.ceil(F.col(count) / each).cast("int")
     hot = right.filter(F.col(count) > each).select(key, parts.alias("__parts"))
     n = hot.count()
     if not n:
-        return left.join(right.drop(count), key)
+        return left.join(right.drop(count), key, how)
     side = F.broadcast(hot) if n <= 1_000_000 else hot
     dealt = left.join(side, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
     copies = F.when(F.col(count) > each, parts).otherwise(1)
     several = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(count)
-    return dealt.join(several, [key, "__salt"]).drop("__salt")
+    return dealt.join(several, [key, "__salt"], how).drop("__salt")
 
 
 def let(value: Column, body) -> Column:

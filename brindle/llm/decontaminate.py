@@ -6,15 +6,19 @@ contaminated if `window` consecutive bytes of an item (all of an item that is sh
 item, on diagonals (text position minus item position) at most `edits` apart. So q-gram hits are counted in diagonal bands
 twice as wide that overlap by half; a band with enough hits within a window is a candidate, which banded alignment verifies.
 
-The benchmark is a query set: it is taken in blocks of at most BLOCK_BYTES, each sent to every task, and every document meets
-every block. Nothing is sampled and no candidate is left out.
+The benchmark is a query set: it is taken in blocks of about BLOCK_BYTES, whose items are sent to every task and indexed there once a worker,
+and every document meets every block. What a block leaves is written before the next one, so a task holds one index at a time.
+Nothing is sampled and no candidate is left out. Short items have blocks of their own, as they need fewer hits.
 
-Nulls: a null text or item counts as empty, and items shorter than MIN_BYTES match nothing. Null ids are carried as null.
+Nulls: a null text or item counts as empty, and items of fewer than Q bytes, which have
+no q-gram, match nothing. Null ids are carried as null.
 Repeated rows each give a row; equal items all match. An empty benchmark leaves every document clean. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import cut, table
 
 Q = 8
 WINDOW = 64
 RATE = 0.1
-MIN_BYTES = 24
+_READY = 4
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 22
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +80,7 @@ class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int = WINDOW, rate: float = RATE) -> None:
-        self.items = [(i, b) for i, b in items if len(b) >= MIN_BYTES]
+        self.items = [(i, b) for i, b in items if len(b) >= Q]
         self.window, self.limits = window, [limits(len(b), window, rate) for _, b in self.items]
         grams = [_grams(b) for _, b in self.items]
         values = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -212,8 +216,21 @@ def _dense(at: np.ndarray, least: int, span: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _scan(index: Index):
+def _index(items: list[tuple[int | None, bytes]], window: int, rate: float, name: str) -> Index:
+    """The worker process's own, which lasts from task to task; a few are kept."""
+    ready = vars(sys).setdefault("_brindle_indexes", {})
+    if name not in ready:
+        while len(ready) >= _READY:
+            del ready[next(iter(ready))]
+        ready[name] = Index(items, window, rate)
+    return ready[name]
+
+
+def _scan(items: list[tuple[int | None, bytes]], window: int, rate: float):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(items, window, rate, name)
         kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "start", "end", "edits")]))
         for b in batches:
             texts = [canonical(t) for t in b.column(b.num_columns - 1).to_pylist()]
@@ -244,7 +261,10 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
     n = max(1, -(-int(b.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     for k in range(n):
         part = b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else b
-        yield sorted(((r["i"], canonical(r["t"])) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        items = sorted(((r["i"], canonical(r["t"])) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        for some in ([x for x in items if len(x[1]) >= WINDOW], [x for x in items if Q <= len(x[1]) < WINDOW]):
+            if some:
+                yield some
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, rate: float = RATE, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -254,10 +274,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != "matches"]
     out = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.array().cast(MATCHES).alias("matches"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = Index(items, window, rate)
-        if index.items:
-            out = out.mapInArrow(_scan(index), out.schema)
+    for k, items in enumerate(blocks(benchmark, item_col, item_text_col, block_bytes)):
+        out = (cut(out) if k else out).mapInArrow(_scan(items, window, rate), out.schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "matches")
 
 

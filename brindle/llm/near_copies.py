@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut
+from brindle.llm.common import BROADCAST_ROWS, cut
 from brindle.llm.simhash import SEED, _Forest, _ones, components, trie_links
 
 #: Jaccard similarity of a link, in 1/10000.
@@ -46,8 +46,6 @@ SKETCH_WORDS = 3
 WORDS = 8
 #: Rows of a band group that one task takes at once.
 HOT = 50_000
-#: Rows of (long) keys that are broadcast at most; a larger side is shuffled.
-BROADCAST_ROWS = 1_000_000
 #: Candidates that a group holds before those within trees are dropped.
 HELD = 1 << 20
 

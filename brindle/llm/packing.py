@@ -36,8 +36,9 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 1
 WINDOW = 2048
-#: Words whose ids a worker keeps at most; beyond, it starts afresh.
-KEPT_WORDS = 700_000
+#: Bytes that a worker's words and their ids may take; beyond, it starts afresh with the next batch.
+KEPT_BYTES = 192 << 20
+_ENTRY_BYTES = 200
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -61,6 +62,22 @@ class _Places(dict):
         return place
 
 
+class _Grown:
+    """An array that grows by doubling, so that adding to it copies each entry a few times at most."""
+
+    def __init__(self, kind, first: list[int]) -> None:
+        self.array, self.n = np.array(first, kind), len(first)
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.array):
+            grown = np.empty(max(need, 2 * len(self.array)), self.array.dtype)
+            grown[: self.n] = self.array[: self.n]
+            self.array = grown
+        self.array[self.n : need] = more
+        self.n = need
+
+
 class Encoder:
     """ids of texts, word by word. A byte-level vocabulary whose pattern takes a space with the word after it is needed.
 
@@ -85,11 +102,13 @@ class Encoder:
     def _reset(self) -> None:
         # entry 0 is the end id
         self.at, self.first, self.parts = _Places(self, " "), _Places(self, ""), {}
-        self.flat, self.starts, self.lengths, self.pending = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64), []
+        self.flat, self.starts, self.lengths, self.pending = _Grown(np.uint32, [END_ID]), _Grown(np.int64, [0]), _Grown(np.int64, [1]), []
+        self.kept = 0
 
     def later(self, text: str) -> int:
         self.pending.append(text)
-        return len(self.lengths) + len(self.pending) - 1
+        self.kept += _ENTRY_BYTES + 4 * len(text)
+        return self.lengths.n + len(self.pending) - 1
 
     def _learn(self) -> None:
         if not self.pending:
@@ -108,8 +127,10 @@ class Encoder:
             ids[i] = e.ids
         lengths = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths, self.flat, self.pending = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat]), []
+        self.starts.extend(self.flat.n + np.cumsum(lengths) - lengths)
+        self.lengths.extend(lengths)
+        self.flat.extend(flat)
+        self.pending, self.kept = [], self.kept + flat.nbytes
 
     def _whole(self, text: str) -> list[int]:
         """Places of a text with runs of white space or some beside a space: cut only at single spaces between other characters."""
@@ -129,7 +150,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and where each text's ids end, from 0 on."""
-        if len(self.lengths) > KEPT_WORDS:
+        if self.kept > KEPT_BYTES:
             self._reset()
         place, place_first, all_places = self.at.__getitem__, self.first.__getitem__, []
         for t in texts:
@@ -143,9 +164,9 @@ class Encoder:
         self._learn()
         ends = np.cumsum([len(x) for x in all_places])
         p = np.fromiter(chain.from_iterable(all_places), np.int64, int(ends[-1]) if len(ends) else 0)
-        lengths = self.lengths[p]
+        lengths = self.lengths.array[p]
         stop = np.cumsum(lengths)
-        flat = self.flat[np.repeat(self.starts[p] - (stop - lengths), lengths) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        flat = self.flat.array[np.repeat(self.starts.array[p] - (stop - lengths), lengths) + np.arange(int(stop[-1]) if len(stop) else 0)]
         return flat, np.r_[0, stop[ends - 1]] if len(ends) else np.zeros(1, np.int64)
 
 

@@ -22,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import let, table
+from brindle.llm.common import BROADCAST_WIDE_ROWS, cut, let, table
 
 _c, _p = re._constants, re._parser
 #: Strings that a part of a pattern may stand for are listed up to so many.
@@ -182,8 +182,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     indexed = tuple(r for r in rules if all(queries[r.kind]))
     trigrams = sorted({t for r in indexed for alt in queries[r.kind] for t in alt})
     if trigrams:
-        got = candidates(postings(src, trigrams), indexed)
-        src = src.join(got, "key", "left")
+        # few rows are candidates, so their keys go to the texts and not the texts to the keys, unless there are too many
+        got = cut(candidates(postings(src, trigrams), indexed))
+        src = src.join(F.broadcast(got) if got.count() <= BROADCAST_WIDE_ROWS else got, "key", "left")
     else:
         src = src.withColumn("kinds", F.lit(None).cast("array<string>"))
     nothing = F.array().cast("array<string>")

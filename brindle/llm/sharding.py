@@ -20,7 +20,7 @@ from itertools import chain, repeat
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import buckets_for, cut, running, table
+from brindle.llm.common import BROADCAST_WIDE_ROWS, buckets_for, cut, running, spread_join, table
 
 SHARDS = 24
 #: A round takes groups of at least this share of a shard; the last ones take all that is left, and are repeated while any is taken.
@@ -47,6 +47,13 @@ def _choice(room: list[int]) -> Column:
     return F.coalesce(best["s"], other["s"])
 
 
+def _told(rows: DataFrame, groups: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows left-joined with written groups (one for each key, n its rows): no shuffle while those are few, else with large groups dealt out."""
+    if groups.count() <= BROADCAST_WIDE_ROWS:
+        return rows.join(F.broadcast(groups.drop("n")), key, "left")
+    return spread_join(rows, groups, key, ["doc_id"], n_rows, how="left")
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """Rows (doc_id, size, text_crc32, shard, slot), one for each row of docs."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -56,8 +63,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     if not n:
         return items.select("doc_id", "size", "text_crc32", F.col("label").alias("shard"), F.lit(0).cast("long").alias("slot"))
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    several = items.groupBy("g").agg(F.count("*").alias("in_group")).filter("in_group > 1")
-    marked = cut(items.join(several, "g", "left").withColumn("in_group", F.coalesce("in_group", F.lit(1).cast("long"))))
+    several = cut(items.groupBy("g").agg(F.count("*").alias("in_group")).filter("in_group > 1").withColumn("n", F.col("in_group")))
+    marked = cut(_told(items, several, "g", n).withColumn("in_group", F.coalesce("in_group", F.lit(1).cast("long"))))
     linked = running(marked.filter("in_group > 1"), "nth", F.lit(1), ["g"], ["doc_id", "label"], buckets_for(n))
     linked = cut(linked.withColumn("part", F.floor(F.col("nth") / max(1, n // shards)).cast("long")).drop("nth", "in_group"))
     waiting, room, settled = cut(_votes(linked)), list(quota), []
@@ -81,8 +88,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
         every = settled[0]
         for s in settled[1:]:
             every = every.union(s)
-        every = cut(every.select("s_g", "s_part", "shard"))
-        moved = cut(linked.join(every, (F.col("g") == F.col("s_g")) & (F.col("part") == F.col("s_part")), "left"))
+        key = lambda g, part: F.concat_ws(":", g, part)
+        every = cut(every.select(key("s_g", "s_part").alias("at"), "shard", F.col("size").alias("n")))
+        moved = cut(_told(linked.withColumn("at", key("g", "part")), every, "at", n))
         done = moved.filter("shard is not null").select(*cols)
         free = free.union(moved.filter("shard is null").select("doc_id", "size", "text_crc32", "label"))
     else:

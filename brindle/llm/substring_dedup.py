@@ -8,8 +8,8 @@ suffixes repeat an earlier document. Words are never compared across groups: equ
 
 Documents are packed to compressed batches written to the shared folder. Each batch sends a node at most once, with its own
 smallest doc_id (so a passage in a third of all documents costs one entry a batch), and gets back only nodes that another
-batch has from a smaller document. A window fingerprint has 64 bits over 64-bit word hashes: about n^2 / 2^65 windows of n are
-expected to meet a false equal.
+batch has from a smaller document. A window fingerprint has 64 bits over 64-bit word hashes and meets only those of its group: of n windows in
+groups of g, n * g / 2^65 are expected to meet a false equal, which is below one over 100 TB, as g doesn't grow with the input.
 
 Nulls: a null text has no words. A null id counts as larger than any other; rows with equal ids don't repeat one another.
 Repeated rows each give a row. Texts of any length are handled whole. Other columns are ignored.
@@ -35,7 +35,6 @@ from brindle.llm.common import cut, table
 LEVELS = (1, 2, 3, 5, 8)
 #: At most so many entries of each level's bucket table are held by the driver and sent to tasks (1 byte to 4 bytes each).
 MAX_BUCKETS = 1 << 20
-NO_ID = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -54,7 +53,7 @@ def _pack(batch_bytes: int):
         def row() -> pa.RecordBatch:
             nonlocal held, size, made
             part = pa.Table.from_batches(held)
-            part = part.take(pc.sort_indices(part, sort_keys=[("doc_id", "ascending")])).combine_chunks()
+            part = part.take(pc.sort_indices(part, sort_keys=[("doc_id", "ascending")])).combine_chunks()  # nulls last
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as w:
                 w.write_table(part)
@@ -64,7 +63,7 @@ def _pack(batch_bytes: int):
             return out
 
         for b in batches:
-            b = pa.record_batch([pc.fill_null(b.column(0).cast(pa.int64()), NO_ID), pc.fill_null(b.column(1).cast(pa.large_string()), "")], ["doc_id", "text"])
+            b = pa.record_batch([b.column(0).cast(pa.int64()), pc.fill_null(b.column(1).cast(pa.large_string()), "")], ["doc_id", "text"])
             ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros(0)
             at = 0
             while at < b.num_rows:
@@ -83,9 +82,10 @@ def _pack(batch_bytes: int):
     return run
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, pa.ChunkedArray]:
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArray]:
+    """ids (0 where null), which are null, and texts."""
     t = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
-    return t.column(0).to_numpy(), t.column(1)
+    return pc.fill_null(t.column(0), 0).to_numpy(), pc.is_null(t.column(0)).to_numpy(), t.column(1)
 
 
 def word_codes(texts: pa.ChunkedArray, hashes: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def _count(window: int, shift: int):
         counts = None
         for b in batches:
             for data in b.column(0):
-                *_, prefixes = _suffixes(*word_codes(_unpack(data.as_py())[1]), window)
+                *_, prefixes = _suffixes(*word_codes(_unpack(data.as_py())[2]), window)
                 new = [np.bincount((p >> np.uint64(shift)).astype(np.int64), minlength=1 << (64 - shift)) for p in prefixes]
                 counts = new if counts is None else [x + y for x, y in zip(counts, new)]
         for level, c in enumerate(counts or []):
@@ -147,24 +147,25 @@ def prefix_groups(counts: pd.DataFrame, n_levels: int, n_buckets: int, total: in
     return groups, max(1, made)
 
 
-def _group_of(prefixes: list[np.ndarray], h: np.ndarray, groups: np.ndarray, n_groups: int, shift: int) -> np.ndarray:
+def _group_of(prefixes: list[np.ndarray], h: np.ndarray, groups: np.ndarray, n_groups: int, shift: int, split: int) -> np.ndarray:
     g = np.full(len(h), -1, np.int32)
     for level, p in enumerate(prefixes):
         left = np.flatnonzero(g < 0)
         g[left] = groups[level][(p[left] >> np.uint64(shift)).astype(np.int64)]
     left = np.flatnonzero(g < 0)  # told by the whole window
     g[left] = (h[left] % np.uint64(n_groups)).astype(np.int32)
-    return g
+    # a group that is too large for memory, as the table of prefixes is bounded, is split by the longest prefix: the whole window
+    return g.astype(np.int64) * split + ((h >> np.uint64(20)) % np.uint64(split)).astype(np.int64)
 
 
 class _Nodes:
     """What a batch knows: its suffixes' nodes, sorted by (group, fingerprint), and each node's smallest document."""
 
-    def __init__(self, data: bytes, window: int, groups: np.ndarray, n_groups: int, shift: int) -> None:
-        self.ids, self.texts = _unpack(data)
+    def __init__(self, data: bytes, window: int, groups: np.ndarray, n_groups: int, shift: int, split: int) -> None:
+        self.ids, self.no_id, self.texts = _unpack(data)
         codes, self.bounds = word_codes(self.texts)
         self.at, self.doc, h, prefixes = _suffixes(codes, self.bounds, window)
-        g = _group_of(prefixes, h, groups, n_groups, shift)
+        g = _group_of(prefixes, h, groups, n_groups, shift, split)
         order = np.lexsort((h, g)) if len(h) else np.zeros(0, np.int64)  # stable: documents stay in order of ids
         hs, gs = h[order], g[order]
         first = np.ones(len(hs), bool)
@@ -172,27 +173,27 @@ class _Nodes:
         self.node = np.empty(len(h), np.int64)  # of each suffix
         self.node[order] = np.cumsum(first) - 1
         self.h, self.group = hs[first], gs[first]
-        self.least = self.ids[self.doc[order][first]]
+        self.least, self.no_least = (x[self.doc[order][first]] for x in (self.ids, self.no_id))
 
 
-def _send(window: int, groups: np.ndarray, n_groups: int, shift: int):
+def _send(window: int, groups: np.ndarray, n_groups: int, shift: int, split: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
         for b in batches:
             for batch, data in zip(b.column(0).to_pylist(), b.column(1)):
-                x = _Nodes(data.as_py(), window, groups, n_groups, shift)
+                x = _Nodes(data.as_py(), window, groups, n_groups, shift, split)
                 starts = np.flatnonzero(np.r_[True, x.group[1:] != x.group[:-1]]) if len(x.group) else np.zeros(0, int)
                 out = []
                 for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(x.group)]):
-                    least, real = x.least[s:e], x.least[s:e] != NO_ID
-                    low = int(least[real].min()) if real.any() else 0
-                    gap = np.where(real, least - low + 1, 0).astype(np.uint64)
+                    least, none = x.least[s:e], x.no_least[s:e]
+                    low = int(least[~none].min()) if not none.all() else 0
+                    gap = np.where(none, 0, least.view(np.uint64) - np.int64(low).view(np.uint64))  # no gap is too large for 64 bits
                     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if int(gap.max()) <= np.iinfo(k).max)
                     # sorted, so steps are short: by byte planes they compress
                     steps = np.diff(x.h[s:e], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-                    out.append((int(x.group[s]), batch, s, low, zip_.compress(steps.T.tobytes()), gap.astype(kind).tobytes()))
-                cols = list(zip(*out)) if out else [[]] * 6
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["grp", "batch", "first", "low", "h", "gap"])
+                    out.append((int(x.group[s]), batch, s, low, zip_.compress(steps.T.tobytes()), gap.astype(kind).tobytes(), np.packbits(none).tobytes() if none.any() else b""))
+                cols = list(zip(*out)) if out else [[]] * 7
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["grp", "batch", "first", "low", "h", "gap", "none"])
 
     return run
 
@@ -202,11 +203,14 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     unzip = zstandard.ZstdDecompressor()
     hs = [np.cumsum(np.ascontiguousarray(np.frombuffer(unzip.decompress(x), np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64) for x in rows["h"]]
     sizes = np.array([len(x) for x in hs])
-    least = []
-    for x, n, low in zip(rows["gap"], sizes, rows["low"]):
+    least, none = [], []
+    for x, bits, n, low in zip(rows["gap"], rows["none"], sizes, rows["low"]):
         gap = np.frombuffer(x, f"<u{len(x) // n}").astype(np.uint64)
-        least.append(np.where(gap == 0, NO_ID, low - 1 + gap.astype(np.int64)))
-    h, least = np.concatenate(hs), np.concatenate(least)
+        least.append((gap + np.int64(low).view(np.uint64)).view(np.int64))
+        none.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) if bits else np.zeros(n, bool))
+    h, none = np.concatenate(hs), np.concatenate(none)
+    ids, least = np.unique(np.concatenate(least), return_inverse=True)  # as ranks, so that a null id can be beyond the largest
+    least = np.where(none, len(ids), least)
     order = np.argsort(h, kind="stable")
     starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
     best = np.empty(len(h), np.int64)
@@ -215,20 +219,21 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     for n, batch, first in zip(sizes.tolist(), rows["batch"], rows["first"]):
         late = np.flatnonzero(best[at : at + n] < least[at : at + n])
         if len(late):
-            out.append((batch, (first + late).astype(np.int64).tobytes(), best[at : at + n][late].tobytes()))
+            out.append((batch, (first + late).astype(np.int64).tobytes(), ids[best[at : at + n][late]].tobytes()))
         at += n
     return pd.DataFrame(out, columns=["batch", "nodes", "least"])
 
 
-def _apply(window: int, groups: np.ndarray, n_groups: int, shift: int):
+def _apply(window: int, groups: np.ndarray, n_groups: int, shift: int, split: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data, told in zip(b.column(0), b.column(1).to_pylist()):
-                x = _Nodes(data.as_py(), window, groups, n_groups, shift)
-                least = x.least.copy()
+                x = _Nodes(data.as_py(), window, groups, n_groups, shift, split)
+                least, none = x.least.copy(), x.no_least.copy()
                 for t in told or []:
-                    least[np.frombuffer(t["nodes"], np.int64)] = np.frombuffer(t["least"], np.int64)
-                late = x.at[x.ids[x.doc] > least[x.node]]
+                    nodes = np.frombuffer(t["nodes"], np.int64)
+                    least[nodes], none[nodes] = np.frombuffer(t["least"], np.int64), False
+                late = x.at[~none[x.node] & (x.no_id[x.doc] | (x.ids[x.doc] > least[x.node]))]
                 step = np.zeros(int(x.bounds[-1]) + 1, np.int32)
                 np.add.at(step, late, 1)
                 np.add.at(step, late + window, -1)  # a window ends within its document
@@ -240,7 +245,7 @@ def _apply(window: int, groups: np.ndarray, n_groups: int, shift: int):
                     edge = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
                     spans.append([{"first": int(i), "end": int(j)} for i, j in edge.reshape(-1, 2)])
                     kept.append(b" ".join([w for w, m in zip(words, mask.tolist()) if not m] if n_gone[-1] else words).decode())
-                ids = pa.array(x.ids, mask=x.ids == NO_ID)
+                ids = pa.array(x.ids, mask=x.no_id)
                 for i in range(0, len(kept), 512):
                     j = slice(i, i + 512)
                     yield pa.record_batch([ids[j], pa.array(np.diff(x.bounds)[j]), pa.array(n_gone[j], pa.int64()), pa.array(spans[j], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(kept[j], pa.string())], ["doc_id", "n_words", "n_removed", "removed", "kept_text"])
@@ -262,8 +267,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shift, n_levels = 64 - bits, sum(x < window for x in LEVELS)
     counts = packed.select("data").mapInArrow(_count(window, shift), "level long, bucket long, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n")).toPandas()  # n_levels * 2^bits rows at most
     groups, n_groups = prefix_groups(counts, n_levels, 1 << bits, total, limit)
-    how = (window, groups, n_groups, shift)
-    sent = packed.select("batch", "data").mapInArrow(_send(*how), "grp int, batch long, first long, low long, h binary, gap binary")
+    how = (window, groups, n_groups, shift, -(-limit // group_suffixes))
+    sent = packed.select("batch", "data").mapInArrow(_send(*how), "grp long, batch long, first long, low long, h binary, gap binary, none binary")
     told = sent.groupBy("grp").applyInPandas(_solve, "batch long, nodes binary, least binary")
     told = told.groupBy("batch").agg(F.collect_list(F.struct("nodes", "least")).alias("told"))  # a batch's own nodes at most
     both = packed.join(told, "batch", "left").select("data", "told")

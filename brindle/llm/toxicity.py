@@ -71,11 +71,12 @@ class Model:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         row, feature = _features(texts)
-        weight = np.zeros(1 << FEATURE_BITS)
-        weight[self.features] = self.weights
-        known = weight[feature] != 0
-        pairs = np.unique(row[known] << FEATURE_BITS | feature[known])
-        return np.bincount(pairs >> FEATURE_BITS, weight[pairs & ((1 << FEATURE_BITS) - 1)], minlength=len(texts))
+        if not len(self.features):
+            return np.zeros(len(texts))
+        place = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)  # of the few that the model has
+        known = self.features[place] == feature
+        pairs = np.unique(row[known] << FEATURE_BITS | place[known])
+        return np.bincount(pairs >> FEATURE_BITS, self.weights[pairs & ((1 << FEATURE_BITS) - 1)], minlength=len(texts))
 
 
 def features_of(texts: list[str | None]) -> list[np.ndarray]:

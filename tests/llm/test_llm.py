@@ -113,7 +113,7 @@ def test_decontamination_against_full_alignment(spark, odd, none):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(60)]
     say = lambda n: " ".join(rng.choice(words, n))
-    items = [(i, say(18)) for i in range(6)] + [(6, say(4)), (7, None), (8, "tiny")]
+    items = [(i, say(18)) for i in range(6)] + [(6, say(4)), (7, None), (8, "tiny"), (9, "item of 20 bytes xy")]
     rows = []
     for i in range(60):
         text = say(30)
@@ -122,7 +122,7 @@ def test_decontamination_against_full_alignment(spark, odd, none):
             for _ in range(i % 10):  # edits
                 at = int(rng.integers(0, len(part)))
                 part[at : at + int(rng.integers(0, 2))] = list(rng.choice(list("xyz"), int(rng.integers(0, 2))))
-            text = text[:70] + " " + "".join(part).upper() + "\n " + text[70:]
+            text = text[:70] + (" Item  of 20 bytes yx " if i % 5 else " ") + "".join(part).upper() + "\n " + text[70:]
         rows.append((i, text))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -132,7 +132,7 @@ def test_decontamination_against_full_alignment(spark, odd, none):
         t = decontaminate.canonical(text)
         for i, item in items:
             p = decontaminate.canonical(item)
-            if len(p) >= decontaminate.MIN_BYTES:
+            if len(p) >= decontaminate.Q:
                 w, k, _ = decontaminate.limits(len(p))
                 if any(_edit_within(p[s : s + w], t, k) for s in range(len(p) - w + 1)):
                     want.add((d, i))
@@ -162,6 +162,37 @@ def test_shards_are_even_and_groups_whole(spark, odd, none):
     assert sharding.assign(odd).count() == len(ODD) and sharding.assign(none).count() == 0
 
 
+def test_triples_that_fill_shards_exactly_stay_whole(spark):
+    got = sharding.assign(spark.createDataFrame([(i, f"three {i // 3}") for i in range(2376)], "doc_id long, text string")).toPandas()
+    assert got.groupby("shard").size().tolist() == [99] * 24 and (got.groupby(got.doc_id // 3).shard.nunique() == 1).all()
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_cut_edges_are_near_the_fewest(spark, seed):
+    """Against the fewest groups that any assignment within the quotas must cut, found by trying all of them."""
+    from functools import cache
+
+    rng = np.random.default_rng(seed)
+    sizes = sorted(rng.integers(1, 5, 6).tolist(), reverse=True)
+    shards, n = 3, sum(sizes)
+    quota = tuple(sorted(n // shards + (s < n % shards) for s in range(shards)))
+
+    @cache
+    def fewest(i, room):  # groups that don't stay whole, where a cut one fills any places
+        if i == len(sizes):
+            return 0
+        whole = [fewest(i + 1, tuple(sorted(r - sizes[i] if j == k else r for j, r in enumerate(room)))) for k in range(shards) if room[k] >= sizes[i]]
+        loose = 1 + fewest(i + 1, room) if sizes[i] > 1 else fewest(i + 1, room)
+        return min([*whole, loose])
+
+    rows = [(len(sizes) * k + g, f"g{g}") for g, m in enumerate(sizes) for k in range(m)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=shards).toPandas()
+    assert sorted(got.groupby("shard").size()) == list(quota)
+    cut_ = sum(len({s for i, s in zip(got.doc_id, got.shard) if i % len(sizes) == g}) > 1 for g in range(len(sizes)))
+    assert cut_ <= fewest(0, quota) + 1
+
+
 def test_pairs_stay_whole_where_shards_have_room(spark):
     rows = [(i, f"pair {i // 2}") for i in range(2400)]
     got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=24).toPandas()
@@ -189,6 +220,25 @@ def _plain_repeats(rows, n):
     return sorted(out, key=str)
 
 
+def test_largest_id_and_null_ids(spark):
+    text = " ".join(f"v{i}" for i in range(20))
+    top = 2**63 - 1
+    rows = [(top, text), (None, text), (-(2**63), "w " + text), (None, None), (None, "x " + text), (top, "y")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got), key=str) == _plain_repeats(rows, 13)
+
+
+def test_groups_stay_small_beyond_the_prefix_table(spark, monkeypatch):
+    """With a table of few prefixes, groups are split by the whole window, and results are the same."""
+    monkeypatch.setattr(substring_dedup, "MAX_BUCKETS", 1 << 11)
+    rng = np.random.default_rng(6)
+    words = [f"v{i}" for i in range(9)]
+    rows = [(i, " ".join(rng.choice(words, 60))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup.remove_repeats(df, window=4, group_suffixes=20, batch_bytes=500).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got), key=str) == _plain_repeats(rows, 4)
+
+
 @pytest.mark.parametrize(("window", "limit", "batch"), [(13, 1_500_000, 4 << 20), (4, 50, 200), (3, 2000, 50)])
 def test_repeats_against_plain(spark, odd, none, window, limit, batch):
     rng = np.random.default_rng(window)
@@ -527,6 +577,7 @@ ODD_TEXTS = ["", "  ", " a", "a ", "a  b", "a\n b", "a \nb", "\tx y", "foo's it'
 def test_words_give_the_ids_of_whole_texts(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     e = packing._encoder(packing.tokenizer_path(), packing.tokenizer_path(packing.RANKS))
+    e.kept = max(e.kept, packing.KEPT_BYTES + len(texts) % 2)  # so that it starts afresh now and then
     flat, bounds = e.encode(texts)
     assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
