@@ -28,11 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows that go to a Python worker at once, so that few texts are held beside their copies there.
+BATCH_ROWS = 1000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(was), BATCH_ROWS) if int(was) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

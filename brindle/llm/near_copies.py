@@ -133,6 +133,19 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.R
         yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Batches of short rows, put together."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _rows(how: Bands):
     """Classes (cid, wide, root) to (key, cid, root, sketch) for each band."""
 
@@ -198,9 +211,7 @@ def _links(how: Bands, every: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _larger(batches):
             k = batch.column(0).to_numpy()
             last = int(np.searchsorted(k, k[-1]))  # where the group begins that may go on
             if last:
