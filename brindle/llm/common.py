@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,12 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_WIDE_ROWS = 250_000
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, as a worker holds each word of a batch at once."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
 def buckets_for(rows: int, rows_each: int = 50_000) -> int:
     return max(8, -(-rows // rows_each))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, table
+from brindle.llm.common import cut, parts, table
 
 Q = 8
 WINDOW = 64
@@ -232,13 +232,13 @@ def _scan(items: list[tuple[int | None, bytes]], window: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(items, window, rate, name)
         kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "start", "end", "edits")]))
-        for b in batches:
+        for b in parts(batches):
             texts = [canonical(t) for t in b.column(b.num_columns - 1).to_pylist()]
             found: list[list[dict]] = [[] for _ in texts]
             at = 0
             while at < len(texts):
                 size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 21):
+                while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 19):
                     size, to = size + len(texts[to]) + 1, to + 1
                 # one look over many texts: a line feed, which canonical texts lack, keeps them apart
                 data = b"\n".join(texts[at:to])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BROADCAST_ROWS, cut
+from brindle.llm.common import BROADCAST_ROWS, cut, parts
 from brindle.llm.simhash import SEED, _Forest, _ones, components, trie_links
 
 #: Jaccard similarity of a link, in 1/10000.
@@ -128,11 +128,6 @@ def _keys(wide: list[bytes], how: Bands) -> Iterator[np.ndarray]:
         yield key
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
-
-
 def _larger(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Batches of short rows, put together."""
     held, n = [], 0
@@ -150,7 +145,7 @@ def _rows(how: Bands):
     """Classes (cid, wide, root) to (key, cid, root, sketch) for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in parts(batches, 4000):
             wide = b.column(1).to_pylist()
             sketch = pa.array([w[: 8 * SKETCH_WORDS] for w in wide], pa.binary())
             for key in _keys(wide, how):
@@ -161,7 +156,7 @@ def _rows(how: Bands):
 
 def _counts(how: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in parts(batches, 4000):
             for key in _keys(b.column(0).to_pylist(), how):
                 u, n = np.unique(key, return_counts=True)
                 yield pa.record_batch([pa.array(u), pa.array(n)], ["key", "n"])
@@ -286,7 +281,7 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity
             yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "grams"])
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches, 500):
+        for b in parts(batches):
             x, y = b.column(2), b.column(3)
             keep = []
             for i in range(b.num_rows):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import parts, table
 
 FEATURE_BITS = 20
 #: Labelled rows to train on at most, and the rows a word must be in to count.
@@ -51,12 +51,6 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[feature >= 0], feature[feature >= 0]
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of a few rows, as each word of a batch takes some memory at once."""
-    for b in batches:
-        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
-
-
 @dataclass(frozen=True)
 class Model:
     """Features in order, their weights, and the ordered thresholds."""
@@ -148,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = d.join(F.broadcast(some), F.col("d_id") == F.col("l_id")).select(F.xxhash64("d_id").alias("h"), "d_id", "grade", "text")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in parts(batches):
             yield pa.record_batch([*b.columns[:-1], pa.array(features_of(b.column(3).to_pylist()) if b.num_rows else [], pa.list_(pa.int32()))], ["h", "d_id", "grade", "features"])
 
     # texts stay on the executors; the driver gets max_rows lists of features
@@ -165,7 +159,7 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("severity", "grade")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in parts(batches):
             above = model.above(model.score(b.column(b.num_columns - 1)))
             yield pa.record_batch([*b.columns[:-1], pa.array(above.sum(axis=1)), pa.array((above >= CUT).sum(axis=1).astype(np.int32))], [*b.schema.names[:-1], "severity", "grade"])
 
