@@ -24,17 +24,38 @@ def _crc_table() -> np.ndarray:
 _TABLE = _crc_table()
 
 
+#: Long strings are taken in blocks, whose CRCs are combined; blocks that advance together take GRID bytes at most.
+BLOCK = 1 << 14
+GRID = 32 << 20
+
+
 def crc32c_many(blobs: list[bytes]) -> np.ndarray:
-    """CRC-32C of each string. Strings advance together, byte by byte, the longest first."""
+    """CRC-32C of each string. Their blocks advance together, byte by byte, the longest first."""
+    pieces = [b[at : at + BLOCK] for b in blobs for at in range(0, max(1, len(b)), BLOCK)]
+    crc = _crc_of_blocks(pieces)
+    if len(pieces) == len(blobs):
+        return crc
+    out, at = np.zeros(len(blobs), np.uint32), 0
+    for i, b in enumerate(blobs):
+        n = max(1, -(-len(b) // BLOCK))
+        value = int(crc[at])
+        for k in range(1, n):
+            value = int(_moved(np.array([value], np.uint32), len(pieces[at + k]))[0]) ^ int(crc[at + k])
+        out[i] = value
+        at += n
+    return out
+
+
+def _crc_of_blocks(blobs: list[bytes]) -> np.ndarray:
     out = np.full(len(blobs), 0xFFFFFFFF, np.uint32)
     if not blobs:
         return out
     lengths = np.array([len(b) for b in blobs])
     order = np.argsort(-lengths, kind="stable")
-    sizes = lengths[order]
-    for lo in range(0, len(blobs), 4096):
-        part = order[lo : lo + 4096]
-        longest = int(sizes[lo])
+    lo = 0
+    while lo < len(blobs):
+        longest = int(lengths[order[lo]])
+        part = order[lo : lo + max(1, min(4096, GRID // max(1, longest)))]
         grid = np.zeros((longest, len(part)), np.uint8)
         for j, i in enumerate(part):
             grid[: lengths[i], j] = np.frombuffer(blobs[i], np.uint8)
@@ -44,9 +65,30 @@ def crc32c_many(blobs: list[bytes]) -> np.ndarray:
             n = live[at]
             crc[:n] = _TABLE[(crc[:n] ^ grid[at, :n]) & 0xFF] ^ (crc[:n] >> np.uint32(8))
         out[part] = crc
+        lo += len(part)
     return out ^ np.uint32(0xFFFFFFFF)
 
 
+@cache
+def _shift_tables(n: int) -> list[np.ndarray]:
+    """For each byte of a state, a table of what it becomes `n` zero bytes later."""
+    ones = np.array([1 << i for i in range(32)], np.uint64)
+    image = np.array([crc32c_combine(int(x), 0, n) if n else int(x) for x in ones], np.uint32)
+    out = []
+    for byte in range(4):
+        t = np.zeros(256, np.uint32)
+        for bit in range(8):
+            t[(np.arange(256) >> bit & 1) == 1] ^= image[8 * byte + bit]
+        out.append(t)
+    return out
+
+
+def _moved(states: np.ndarray, n: int) -> np.ndarray:
+    """Linear states (without preset and inversion) after n zero bytes."""
+    t = _shift_tables(n)
+    return t[0][states & 0xFF] ^ t[1][states >> 8 & 0xFF] ^ t[2][states >> 16 & 0xFF] ^ t[3][states >> 24]
+
+
 def crc32c(data: bytes) -> int:
     return int(crc32c_many([data])[0])
 
@@ -74,30 +116,37 @@ def crc32c_combine(first: int, second: int, second_length: int) -> int:
     return first ^ second
 
 
-@cache
-def _leaving(window: int) -> tuple[list[int], int]:
-    """What each byte adds to the state `window` bytes after it, and the CRC of `window` zeros."""
-    x = _TABLE.copy()
-    for _ in range(window):
-        x = _TABLE[x & 0xFF] ^ (x >> np.uint32(8))
-    return x.tolist(), crc32c(bytes(window))
+def _prefix_states(data: np.ndarray, stride: int = 1024) -> np.ndarray:
+    """The linear state after each prefix, 0 to len(data) bytes. Segments advance together: first for their ends, then from their starts."""
+    n = len(data)
+    m = -(-n // stride)
+    grid = np.zeros((m, stride), np.uint8)
+    grid.ravel()[:n] = data
+    grid = np.ascontiguousarray(grid.T)
+    state = np.zeros(m, np.uint32)
+    for row in grid:
+        state = _TABLE[(state ^ row) & 0xFF] ^ (state >> np.uint32(8))
+    start, now = np.zeros(m, np.uint32), np.zeros(1, np.uint32)
+    for i in range(m):
+        start[i] = now[0]
+        now = _moved(now, stride) ^ state[i]
+    out = np.empty((stride, m), np.uint32)
+    for k, row in enumerate(grid):
+        out[k] = start
+        start = _TABLE[(start ^ row) & 0xFF] ^ (start >> np.uint32(8))
+    # the state after the last byte, where it begins a segment of its own
+    flat = out.T.ravel()
+    return flat[: n + 1] if n < m * stride else np.append(flat, start[-1])
 
 
 def rolling_crc32c(data: bytes, window: int) -> np.ndarray:
-    """CRC-32C of every window of `window` bytes, one step apart, by taking the leaving byte out of a linear state."""
+    """CRC-32C of every window of `window` bytes, one step apart: the state after it less the state before it, moved on by the window."""
     n = len(data) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
-    # the state without preset and final inversion is linear; those two add what zeros of the same length have
-    gone, zeros = _leaving(window)
-    raw = np.empty(n, np.uint32)
-    state = crc32c(data[:window]) ^ zeros
-    raw[0] = state
-    table = _TABLE.tolist()
-    for i in range(1, n):
-        state = (table[(state ^ data[i + window - 1]) & 0xFF] ^ (state >> 8)) ^ gone[data[i - 1]]
-        raw[i] = state
-    return raw ^ np.uint32(zeros)
+    p = _prefix_states(np.frombuffer(data, np.uint8))
+    # preset and final inversion add what zeros of the same length have
+    return p[window : window + n] ^ _moved(p[:n], window) ^ np.uint32(crc32c(bytes(window)))
 
 
 # ---- BLAKE3 (published specification; fixed values)

@@ -59,6 +59,50 @@ def scale(c: int, data: np.ndarray, bits: int = 8) -> np.ndarray:
     return np.where(data == 0, 0, exp[log[c] + log[data]]).astype(np.uint16) if c else np.zeros_like(data)
 
 
+def _lanes(coefficients: np.ndarray, bits: int) -> list[np.ndarray]:
+    """For each byte of a symbol, a table from its 256 values to all products, side by side in a 64-bit word."""
+    kind, lanes = (np.uint8, 8) if bits == 8 else (np.uint16, 4)
+    c = np.asarray(coefficients, np.int64)
+    out = []
+    for shift in range(0, bits, 8):
+        words = np.zeros((256, lanes), kind)
+        words[:, : len(c)] = _rows(8)[c].T if bits == 8 else mul(c[None, :], np.arange(256)[:, None] << shift, bits)
+        out.append(words.view(np.uint64).ravel())
+    return out
+
+
+class Sums:
+    """Sums of products of several coefficients with slices; add() does 8 (GF(2^8)) or 4 of them with each look into a table."""
+
+    BLOCK = 1 << 15
+
+    def __init__(self, n: int, size: int, bits: int = 8) -> None:
+        self.n, self.size, self.bits, self.lanes = n, size, bits, 64 // bits
+        self.sums = [np.zeros(-(-size * 8 // bits), np.uint64) for _ in range(-(-n // self.lanes))]
+        self.held = np.empty(self.BLOCK, np.uint64)
+
+    def add(self, coefficients: np.ndarray, data: np.ndarray) -> None:
+        """data: bytes, at most `size`; what is missing counts as zeros."""
+        step = self.bits // 8
+        if len(data) % step:
+            data = np.concatenate([data, np.zeros(1, np.uint8)])
+        symbols = data.reshape(-1, step)
+        for k, total in enumerate(self.sums):
+            tables = _lanes(coefficients[k * self.lanes : (k + 1) * self.lanes], self.bits)
+            for at in range(0, len(symbols), self.BLOCK):
+                part = symbols[at : at + self.BLOCK]
+                out, held = total[at : at + len(part)], self.held[: len(part)]
+                for byte, t in enumerate(tables):
+                    np.take(t, part[:, byte], out=held, mode="clip")
+                    np.bitwise_xor(out, held, out=out)
+
+    def rows(self):
+        """The sums' bytes, one for each coefficient."""
+        kind = np.uint8 if self.bits == 8 else np.uint16
+        for i in range(self.n):
+            yield self.sums[i // self.lanes].view(kind).reshape(-1, self.lanes)[:, i % self.lanes].tobytes()[: self.size]
+
+
 def solve(matrix: np.ndarray, bits: int = 8) -> np.ndarray:
     """The inverse of a square matrix by elimination."""
     n = len(matrix)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.ordered import running_ordered
+from brindle.sources.catalog import staged
+
 
 def diff(old: DataFrame, new: DataFrame, key: str = "name", same: list[str] | None = None) -> DataFrame:
     """Full outer join of two manifests: name, change (inherited, changed, added, dropped), and both sides' columns prefixed."""
@@ -18,15 +21,28 @@ def diff(old: DataFrame, new: DataFrame, key: str = "name", same: list[str] | No
     return o.join(n, F.col("_o") == F.col("_n"), "full_outer").select(F.coalesce("_o", "_n").alias(key), change.alias("change"), *[f"old_{c}" for c in same], *[f"new_{c}" for c in same])
 
 
-def lineage(generations: DataFrame) -> DataFrame:
-    """(generation, ancestor, depth) for every generation and itself; parents of one row each, by a recursive query."""
-    generations.createOrReplaceTempView("_generations")
-    return generations.sparkSession.sql(
-        """WITH RECURSIVE up(generation, ancestor, parent, depth) AS (
-             SELECT generation, generation, parent, 0 FROM _generations
-             UNION ALL SELECT u.generation, g.generation, g.parent, u.depth + 1 FROM up u JOIN _generations g ON g.generation = u.parent)
-           SELECT generation, ancestor, depth FROM up"""
-    )
+def lineage(generations: DataFrame, max_doublings: int = 40) -> DataFrame:
+    """(generation, ancestor, depth) for every generation and itself, of (generation, parent), by doubling the distance that is known.
+
+    A chain of n generations takes log2(n) joins. A cycle, or a parent that isn't there, raises ValueError.
+    """
+    step = staged(generations.select("generation", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).filter("ancestor is not null"))
+    if step.join(generations.select(F.col("generation").alias("ancestor")), "ancestor", "left_anti").limit(1).count():
+        raise ValueError("a generation's parent is missing")
+    n = generations.count()
+    known = generations.select("generation", F.col("generation").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
+    jump, reach = step, 1  # jump: pairs exactly `reach` apart
+    for _ in range(max_doublings):
+        on = jump.select(F.col("generation").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        far = known.join(on, "ancestor").select("generation", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        known = staged(known.union(far))
+        reach *= 2
+        jump = staged(jump.join(on, "ancestor").select("generation", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")))
+        if jump.isEmpty():
+            return known
+        if reach > n:
+            break
+    raise ValueError("generations go round in a cycle")
 
 
 def nearest(files: DataFrame, effective: DataFrame, ancestry: DataFrame) -> DataFrame:
@@ -58,9 +74,9 @@ def orphans(entries: DataFrame, owned: DataFrame, removed: list[int], entry: str
 
 
 def interned(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Distinct keys with posix_index: their place by first appearance."""
-    first = rows.groupBy(*keys).agg(F.min(order).alias("first_seen"))
-    return first.withColumn("posix_index", F.row_number().over(Window.orderBy("first_seen")) - 1)  # as many rows as distinct keys
+    """Distinct keys with posix_index: their place by first appearance (order is unique)."""
+    first = staged(rows.groupBy(*keys).agg(F.min(order).alias("first_seen")))
+    return running_ordered(first, "first_seen", F.lit(1), "posix_index")
 
 
 def presence(layout: DataFrame, volumes: DataFrame) -> DataFrame:

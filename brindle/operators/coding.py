@@ -1,77 +1,140 @@
-"""Cauchy Reed-Solomon over slices: encode, decode, and the XOR of partial results."""
+"""Cauchy Reed-Solomon over slices: encode, decode, and the XOR of partial results.
+
+A stream longer than one set of slices is coded in sets: slice s is number s % per_set of set s // per_set, so neither the field nor a
+slice grows with the stream. A task holds the recovery slices of one set at a time.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import gf
 
+#: Partial results that meet in one task before their sums meet.
+FAN_IN = 64
 
-def _symbols(data: bytes, size: int, bits: int) -> np.ndarray:
-    return np.frombuffer(data.ljust(size, b"\0"), np.uint8 if bits == 8 else "<u2")
 
+def _partial(exponents: Callable[[int], list[int]], size: int, bits: int, per_set: int):
+    """(slice, part, data) to (part, exponent, data): sums by part, each of its own exponents; flushed when the part changes."""
 
-def _partial(exponents: list[int], size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = None
+        now, sums = None, None
+
+        def out() -> pa.RecordBatch:
+            rows = list(zip(exponents(now), sums.rows()))
+            return pa.record_batch([pa.array([now] * len(rows), pa.int64()), pa.array([e for e, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "exponent", "data"])
+
         for b in batches:
-            for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = _symbols(data, size, bits)
-                if acc is None:
-                    acc = {e: np.zeros_like(x) for e in exponents}
-                for e in exponents:
-                    acc[e] ^= gf.scale(int(gf.coefficient(e, number, bits)), x, bits)
-        if acc is not None:
-            yield pa.record_batch([pa.array(list(acc), pa.int64()), pa.array([x.tobytes() for x in acc.values()], pa.binary())], ["exponent", "data"])
+            for number, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if part != now:
+                    if sums:
+                        yield out()
+                    now, sums = part, gf.Sums(len(exponents(part)), size, bits)
+                sums.add(gf.coefficient(np.array(exponents(part), np.int64), number % per_set, bits), np.frombuffer(data.as_buffer(), np.uint8))
+        if sums:
+            yield out()
 
     return run
 
 
-def _xor(rows: pd.DataFrame) -> pd.DataFrame:
-    out = np.bitwise_xor.reduce(np.stack([np.frombuffer(x, np.uint8) for x in rows["data"]]))
-    return pd.DataFrame({"exponent": [rows["exponent"].iloc[0]], "data": [out.tobytes()]})
+def _xor(keys: list[str]):
+    """Rows of keys and data, sorted by keys, to one row for each with the XOR of data; one result is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, acc = None, None
+        names = [*keys, "data"]
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([*[pa.array([k], pa.int64()) for k in now], pa.array([acc.tobytes()], pa.binary())], names)
 
+        for b in batches:
+            ids = list(zip(*(b.column(i).to_pylist() for i in range(len(keys)))))
+            for key, data in zip(ids, b.column(len(keys))):
+                x = np.frombuffer(data.as_buffer(), np.uint8)
+                if key != now:
+                    if now is not None:
+                        yield out()
+                    now, acc = key, x.copy()
+                else:
+                    if len(x) > len(acc):
+                        acc = np.concatenate([acc, np.zeros(len(x) - len(acc), np.uint8)])
+                    acc[: len(x)] ^= x  # what is missing counts as zeros
+        if now is not None:
+            yield out()
 
-def merge(partials: DataFrame) -> DataFrame:
-    """XOR of partial recovery slices; any order and grouping gives the same."""
-    return partials.groupBy("exponent").applyInPandas(_xor, "exponent long, data binary")
+    return run
 
 
-def encode(slices: DataFrame, recovery: int, size: int, bits: int = 8, first: int = 0) -> DataFrame:
-    """(exponent, data): recovery slices first to first + recovery - 1 of (slice, data).
+def merge(partials: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """XOR of partial recovery slices; any order and grouping gives the same. Partials of FAN_IN tasks meet first, then their sums."""
+    keys = keys or ["exponent"]
+
+    def level(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.select(*by, "data").repartition(*by).sortWithinPartitions(*by).mapInArrow(_xor(by), ", ".join(f"{k} long" for k in by) + ", data binary")
 
-    Each task holds recovery * size bytes and sends as much, however many slices it has read. A row doesn't depend on the number of
+    some = partials.withColumn("_from", F.floor(F.spark_partition_id() / FAN_IN).cast("long"))
+    return level(level(some, [*keys, "_from"]), keys)
+
+
+def encode_sets(slices: DataFrame, per_set: int, recovery: int, size: int, bits: int = 8, first: int = 0) -> DataFrame:
+    """(set_no, exponent, data): recovery slices first to first + recovery - 1 of each set of (slice, data).
+
+    Each task holds recovery * size bytes and sends as much for each set that it reads from. A row doesn't depend on the number of
     slices, so more recovery slices, or more data, can be added later.
     """
     exponents = list(range(first, first + recovery))
-    return merge(slices.select("slice", "data").mapInArrow(_partial(exponents, size, bits), "exponent long, data binary"))
+    if per_set + first + recovery > 1 << bits:
+        raise ValueError(f"{per_set} slices and recovery up to {first + recovery} don't fit in a field of {bits} bits")
+    rows = slices.select("slice", F.floor(F.col("slice") / per_set).cast("long").alias("part"), "data")
+    partials = rows.mapInArrow(_partial(lambda _: exponents, size, bits, per_set), "part long, exponent long, data binary")
+    return merge(partials, ["part", "exponent"]).withColumnRenamed("part", "set_no")
+
+
+def encode(slices: DataFrame, recovery: int, size: int, bits: int = 8, first: int = 0) -> DataFrame:
+    """encode_sets() of a stream that is one set: (exponent, data)."""
+    return encode_sets(slices, (1 << bits) - first - recovery, recovery, size, bits, first).select("exponent", "data")
 
 
 def decode(slices: DataFrame, recovery: DataFrame, erased: list[int], size: int, bits: int = 8) -> DataFrame:
-    """(slice, data) of the erased slices, from the others and as many of the lowest recovery slices. Too few raise ValueError."""
-    spark = slices.sparkSession
-    present = sorted(r["exponent"] for r in recovery.select("exponent").collect())
-    if len(present) < len(erased):
-        raise ValueError(f"{len(erased)} erased slices and {len(present)} recovery slices")
-    use = present[: len(erased)]
-    schema = "slice long, data binary"
+    """(slice, data) of the erased slices of one set, from the others and as many of the lowest recovery slices. Too few raise ValueError."""
+    cells = slices.filter(~F.col("slice").isin(erased)).select("slice", F.lit(0).cast("long").alias("col"), "data")
+    rows = recovery.select("exponent", F.lit(0).cast("long").alias("col"), "data")
+    return decode_columns(cells, rows, {0: erased} if erased else {}, size, bits).select("slice", "data")
+
+
+def decode_columns(cells: DataFrame, recovery: DataFrame, erased: dict[int, list[int]], size: int, bits: int = 8) -> DataFrame:
+    """(slice, col, data) of erased cells: cells (slice, col, data) are the intact ones, recovery is (exponent, col, data).
+
+    Each column is a code of its own with its own erasures, at most as many as there are recovery slices; `erased` has columns *
+    recovery numbers at most. Too many raise ValueError.
+    """
+    spark = cells.sparkSession
+    schema = "slice long, col long, data binary"
+    present = sorted(r["exponent"] for r in recovery.select("exponent").distinct().collect())  # one number for each recovery slice
+    for col, lost in erased.items():
+        if len(lost) > len(present):
+            raise ValueError(f"{len(lost)} erased slices in column {col} and {len(present)} recovery slices")
     if not erased:
         return spark.createDataFrame([], schema)
-    rest = slices.filter(~F.col("slice").isin(erased))
-    sums = rest.select("slice", "data").mapInArrow(_partial(use, size, bits), "exponent long, data binary")
-    syndromes = merge(sums.union(recovery.filter(F.col("exponent").isin(use)).select("exponent", "data")))
-    inverse = gf.solve(gf.coefficient(np.array(use)[:, None], np.array(erased)[None, :], bits), bits)
+    use = {c: present[: len(lost)] for c, lost in erased.items()}
+    told = spark.createDataFrame([(c, e) for c, es in use.items() for e in es], "part long, exponent long")
+    rows = cells.filter(F.col("col").isin(list(erased))).select("slice", F.col("col").alias("part"), "data").sortWithinPartitions("part")
+    sums = rows.mapInArrow(_partial(use.__getitem__, size, bits, 1 << bits), "part long, exponent long, data binary")
+    own = recovery.select(F.col("col").alias("part"), "exponent", "data").join(F.broadcast(told), ["part", "exponent"]).select("part", "exponent", "data")
+    syndromes = merge(sums.union(own), ["part", "exponent"])
+    inverse = {c: gf.solve(gf.coefficient(np.array(use[c])[:, None], np.array(lost)[None, :], bits), bits) for c, lost in erased.items()}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for e, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, j = _symbols(data, size, bits), use.index(e)
-                yield pa.record_batch([pa.array(erased, pa.int64()), pa.array([gf.scale(int(inverse[i, j]), x, bits).tobytes() for i in range(len(erased))], pa.binary())], ["exponent", "data"])
+            for c, e, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                s = gf.Sums(len(erased[c]), size, bits)
+                s.add(inverse[c][:, use[c].index(e)], np.frombuffer(data.as_buffer(), np.uint8))
+                yield pa.record_batch([pa.array([c] * len(erased[c]), pa.int64()), pa.array(erased[c], pa.int64()), pa.array(list(s.rows()), pa.binary())], ["part", "exponent", "data"])
 
-    return merge(syndromes.mapInArrow(spread, "exponent long, data binary")).select(F.col("exponent").alias("slice"), "data")
+    out = merge(syndromes.mapInArrow(spread, "part long, exponent long, data binary"), ["part", "exponent"])
+    return out.select(F.col("exponent").alias("slice"), F.col("part").alias("col"), "data")

@@ -110,9 +110,13 @@ def erasure_depth(erasures: DataFrame) -> DataFrame:
 
 
 def column_groups(erasures: DataFrame) -> DataFrame:
-    """Columns that share one set of erased slices: pattern, columns, depth. A column's pattern has at most as many slices as were erased."""
-    p = erasures.groupBy("col").agg(F.array_join(F.sort_array(F.collect_list("slice")), ",").alias("pattern"), F.count("*").alias("depth"))
-    return p.groupBy("pattern", "depth").agg(F.count("*").alias("columns"), F.min("col").alias("first_col"))
+    """Columns that share one set of erased slices: depth, columns, first_col, and the two 64-bit sums that stand for the set.
+
+    Count, XOR and sum of hashes are merged in part before the shuffle, so no column's slices meet in a task.
+    """
+    h = F.xxhash64("slice")
+    p = erasures.groupBy("col").agg(F.count("*").alias("depth"), F.bit_xor(h).alias("pattern_xor"), F.sum(h.cast("decimal(20,0)")).alias("pattern_sum"))
+    return p.groupBy("depth", "pattern_xor", "pattern_sum").agg(F.count("*").alias("columns"), F.min("col").alias("first_col"))
 
 
 def verdict(bad: Column, depth: Column, recovery: Column) -> tuple[Column, Column]:

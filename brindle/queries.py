@@ -81,7 +81,9 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _slice_data(spark: SparkSession, sf_dir: str, z: int = Z) -> DataFrame:
     """(slice, data): slice bytes, zero-padded; the pieces of a slice are z bytes in all."""
-    s = layout.spans(_placed(spark, sf_dir, content=True).filter("is_canonical"), z)
+    # placed without contents, which join once, by the row that they belong to
+    s = layout.spans(_placed(spark, sf_dir).filter("is_canonical"), z).select("doc_id", "slice", "stream_offset", "span_begin", "span_end")
+    s = s.join(_docs(spark, sf_dir).select("doc_id", F.encode("text", "utf-8").alias("content")), "doc_id")
     piece = F.expr("hex(substring(content, int(span_begin - stream_offset + 1), int(span_end - span_begin)))")
     one = s.select("slice", F.struct("span_begin", piece.alias("h")).alias("p")).groupBy("slice").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     return one.select("slice", F.unhex(F.rpad(F.array_join(F.transform("ps", lambda p: p["h"]), ""), 2 * z, "0")).alias("data"))
@@ -213,7 +215,17 @@ def replication_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("volume", "critical", planner.replicate(F.col("volume"), F.lit(39), F.col("critical"), F.lit(40 * 4 * planner.MIB)).alias("replicated"))
 
 
-@query("planner_candidates")
+def _rate(codec: str, i: int | None = None, of: dict = planner.RATES) -> str:
+    return f"CASE bits WHEN 8 THEN {of[codec, 8][i]} ELSE {of[codec, 16][i]} END"
+
+
+@query("planner_candidates", f"""WITH s(slices, recovery) AS (VALUES (48, 5), (245, 37), (3956, 396), (20000, 4000)), c(n, codec, bits) AS (VALUES (0, 'matrix', 8), (1, 'fft', 8), (2, 'matrix', 16), (3, 'fft', 16)),
+x AS (SELECT *, pow(2, ceil(log2(recovery)))::BIGINT AS m, CASE WHEN recovery <= 1024 THEN recovery WHEN (recovery + 1) // 2 <= 1024 THEN (recovery + 1) // 2 ELSE ((recovery + 1) // 2 + 1) // 2 END AS per FROM s, c),
+y AS (SELECT *, (slices + m) / 2 * greatest(1, log2(m)) AS half, 1048576::DOUBLE AS z FROM x), w AS (SELECT *, CASE codec WHEN 'matrix' THEN slices::DOUBLE * recovery * z ELSE half * z END AS work, CASE codec WHEN 'matrix' THEN per * z ELSE (slices + m) * z END AS held, CASE codec WHEN 'matrix' THEN (recovery + per - 1) // per ELSE 1 END AS passes FROM y
+ WHERE CASE codec WHEN 'matrix' THEN slices + recovery <= pow(2, bits) ELSE m + slices <= pow(2, bits) AND slices * recovery >= 20 * half END),
+r AS (SELECT *, CASE WHEN codec = 'matrix' THEN CASE WHEN held <= 16777216 THEN {_rate('matrix', 0)} WHEN held <= 134217728 THEN {_rate('matrix', 1)} ELSE {_rate('matrix', 2)} END ELSE CASE WHEN held <= 16777216 THEN {_rate('fft', 0)} WHEN held <= 134217728 THEN {_rate('fft', 1)} ELSE {_rate('fft', 2)} END END AS rate,
+ CASE codec WHEN 'matrix' THEN {_rate('matrix', 0, planner.DECODE)} ELSE {_rate('fft', 0, planner.DECODE)} END AS repair, CASE codec WHEN 'matrix' THEN {_rate('matrix', 1, planner.DECODE)} ELSE 0 END AS setup FROM w), t AS (SELECT *, work / rate + (slices * z / repair + setup) + passes * {planner.SEEK_US['ssd']} AS score_us FROM r)
+SELECT slices, recovery, (row_number() OVER (PARTITION BY slices, recovery ORDER BY score_us, n) - 1)::INT AS rank, codec, bits AS field, score_us, passes::INT AS passes, printf('%.1f MB of work at %d MB/s, %d passes', work / 1e6, rate::BIGINT, passes::BIGINT) AS why FROM t""")
 def planner_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(s, r, i, c.codec, c.bits, c.score_us, c.passes, c.why) for s, r in ((48, 5), (245, 37), (3956, 396), (20000, 4000)) for i, c in enumerate(planner.candidates(s, r, 1 << 20))]
     return spark.createDataFrame(rows, "slices int, recovery int, rank int, codec string, field int, score_us double, passes int, why string")
@@ -260,7 +272,13 @@ def slice_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slice_data(spark, sf_dir).select("slice", F.sha2("data", 256).alias("digest"))
 
 
-@query("slice_crc32c")
+CRC_SQL = """RECURSIVE tb(i, k, c) AS (SELECT i, 0, i FROM unnest(range(0, 256)) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END FROM tb WHERE k < 8),
+tt AS (SELECT list(c ORDER BY i) AS t FROM tb WHERE k = 8)"""
+
+
+@query("slice_crc32c", f"""WITH {CRC_SQL}, {SPAN_SQL}, H AS (SELECT slice, rpad(string_agg(hex(encode(text)[(span_begin - stream_offset + 1):(span_end - stream_offset)]), '' ORDER BY span_begin), {2 * Z}, '0') AS h FROM X GROUP BY slice),
+v AS (SELECT slice, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS bs FROM H)
+SELECT slice, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS crc32c FROM v, tt""")
 def slice_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(_slice_data(spark, sf_dir), "data", "crc32c").select("slice", "crc32c")
 
@@ -342,9 +360,9 @@ def column_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.erasure_depth(_bad(spark, sf_dir))
 
 
-@query("column_groups", f"WITH {C_SQL}, g AS (SELECT col, string_agg(slice::VARCHAR, ',' ORDER BY slice) AS pattern, count(*) AS depth FROM B GROUP BY col) SELECT pattern, depth, count(*) AS columns, min(col) AS first_col FROM g GROUP BY pattern, depth")
+@query("column_groups", f"WITH {C_SQL}, g AS (SELECT col, string_agg(slice::VARCHAR, ',' ORDER BY slice) AS pattern, count(*) AS depth FROM B GROUP BY col) SELECT depth, count(*) AS columns, min(col) AS first_col FROM g GROUP BY pattern, depth")
 def column_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.column_groups(_bad(spark, sf_dir))
+    return layout.column_groups(_bad(spark, sf_dir)).select("depth", "columns", "first_col")
 
 
 @query("verify_verdict", f"""WITH {C_SQL}, dm AS (SELECT coalesce(max(n), 0) AS depth, coalesce(sum(n), 0)::BIGINT AS cells_bad FROM (SELECT count(*) AS n FROM B GROUP BY col)), b2 AS (SELECT count(DISTINCT slice) AS slices_bad FROM B)
@@ -383,7 +401,8 @@ def copy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged entries whose bytes an intact entry holds as well, with the first such."""
     p = _placed(spark, sf_dir).filter("length > 0").withColumn("end", F.col("stream_offset") + F.col("length"))
     bad = p.filter("ord % 5 = 0").select("ord", F.col("stream_offset").alias("l_begin"), F.col("end").alias("l_end"))
-    good = p.filter("ord % 5 <> 0").select(F.col("ord").alias("src"), F.col("stream_offset").alias("r_begin"), F.col("end").alias("r_end"))
+    # copies are one source, so a text that many entries share meets each of its damaged copies once
+    good = p.filter("ord % 5 <> 0").groupBy(F.col("stream_offset").alias("r_begin"), F.col("end").alias("r_end")).agg(F.min("ord").alias("src"))
     j = layout.overlap_join(bad, good, 1 << 16).filter((F.col("r_begin") <= F.col("l_begin")) & (F.col("l_end") <= F.col("r_end")))
     return j.groupBy("ord").agg(F.min("src").alias("source_ord"))
 
@@ -391,8 +410,8 @@ def copy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- coding
 
 GF_SQL = """RECURSIVE g(i, x) AS (SELECT 0, 1 UNION ALL SELECT i + 1, CASE WHEN x * 2 >= 256 THEN xor(x * 2, 285) ELSE x * 2 END FROM g WHERE i < 254)"""
-#: the stream is coded in so many slices (of a multiple of 64 bytes each) with so many recovery slices
-S_CODE, R_CODE = 200, 4
+#: the stream is coded in sets of so many slices (of a multiple of 64 bytes each, at most Z_MOST) with so many recovery slices each
+S_CODE, R_CODE, Z_MOST = 200, 4, 4 << 20
 LOST = (3, 17, 20, 31)
 
 
@@ -408,30 +427,31 @@ def cauchy_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _code_size(spark: SparkSession, sf_dir: str) -> int:
-    return planner.slice_size(_length(_placed(spark, sf_dir)), wanted=S_CODE)
+    return min(Z_MOST, planner.slice_size(_length(_placed(spark, sf_dir)), wanted=S_CODE))
 
 
 def _code_slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """The whole stream in S_CODE slices at most."""
+    """The whole stream in slices, S_CODE to a set."""
     z = _code_size(spark, sf_dir)
     return staged(_slice_data(spark, sf_dir, z)), z
 
 
-CODE_SQL = f"""{P_SQL}, zz AS (SELECT len, ((len + {S_CODE - 1}) // {S_CODE} + 63) // 64 * 64 AS z FROM L), w0 AS (SELECT string_agg(hex(encode(text)), '' ORDER BY stream_offset) AS h FROM P WHERE is_canonical AND length > 0),
+CODE_SQL = f"""{P_SQL}, zz AS (SELECT len, least({Z_MOST}, ((len + {S_CODE - 1}) // {S_CODE} + 63) // 64 * 64) AS z FROM L), w0 AS (SELECT string_agg(hex(encode(text)), '' ORDER BY stream_offset) AS h FROM P WHERE is_canonical AND length > 0),
 cd AS (SELECT i AS slice, z, rpad(substr(h, (2 * i * z + 1)::BIGINT, (2 * z)::BIGINT), (2 * z)::INT, '0') AS h FROM w0, zz, unnest(range(0, (len + z - 1) // z)) AS t(i))"""
 
 
 @query("gf8_encode", f"""WITH {GF_SQL}, {CODE_SQL}, hx AS (SELECT slice, regexp_extract_all(h, '..') AS hs FROM cd), b AS (SELECT slice, p - 1 AS p, ('0x' || x2)::INT AS v FROM (SELECT slice, unnest(hs) AS x2, generate_subscripts(hs, 1) AS p FROM hx)),
 c AS (SELECT e, s, (255 - q.i) % 255 AS lg FROM unnest(range(0, {R_CODE})) AS a(e), unnest(range(0, {S_CODE})) AS z(s) JOIN g q ON q.x = xor((255 - e)::INT, s::INT)),
-m AS (SELECT e, p, bit_xor(coalesce(y.x, 0)) AS v FROM b JOIN c ON c.s = b.slice LEFT JOIN g w ON w.x = b.v LEFT JOIN g y ON y.i = (w.i + c.lg) % 255 GROUP BY e, p)
-SELECT e AS exponent, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY p))) AS digest FROM m GROUP BY e""")
+m AS (SELECT b.slice // {S_CODE} AS set_no, e, p, bit_xor(coalesce(y.x, 0)) AS v FROM b JOIN c ON c.s = b.slice % {S_CODE} LEFT JOIN g w ON w.x = b.v LEFT JOIN g y ON y.i = (w.i + c.lg) % 255 GROUP BY b.slice // {S_CODE}, e, p)
+SELECT set_no, e AS exponent, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY p))) AS digest FROM m GROUP BY set_no, e""")
 def gf8_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, z = _code_slices(spark, sf_dir)
-    return coding.encode(s, R_CODE, z).select("exponent", F.sha2("data", 256).alias("digest"))
+    return coding.encode_sets(s, S_CODE, R_CODE, z).select("set_no", "exponent", F.sha2("data", 256).alias("digest"))
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str, lost: tuple[int, ...], bits: int) -> DataFrame:
     s, z = _code_slices(spark, sf_dir)
+    s = s.filter(F.col("slice") < S_CODE)  # the first set
     recovery = staged(coding.encode(s, len(lost), z, bits))
     return coding.decode(s, recovery, list(lost), z, bits).select("slice", F.sha2("data", 256).alias("digest"))
 
@@ -450,7 +470,7 @@ def gf16_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recovery_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More recovery slices for a set that has some: rows don't depend on one another."""
     s, z = _code_slices(spark, sf_dir)
-    return coding.encode(s, 2, z).union(coding.encode(s, 2, z, first=2)).select("exponent", F.sha2("data", 256).alias("digest"))
+    return coding.encode_sets(s, S_CODE, 2, z).union(coding.encode_sets(s, S_CODE, 2, z, first=2)).select("set_no", "exponent", F.sha2("data", 256).alias("digest"))
 
 
 @query("stream_encode", ORACLES["gf8_encode"])
@@ -460,7 +480,7 @@ def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/slices-{np.random.default_rng().integers(1 << 62):x}"
     s.repartition(4, "slice").write.parquet(path)
     stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return encode_stream(spark, stream, R_CODE, z).select("exponent", F.sha2("data", 256).alias("digest"))
+    return encode_stream(spark, stream, R_CODE, z, per_set=S_CODE).select("set_no", "exponent", F.sha2("data", 256).alias("digest"))
 
 
 @query("inner_rs_scrub")
@@ -503,16 +523,19 @@ def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- generations
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _g0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(_docs(spark, sf_dir).filter("doc_id % 10 <> 0")).select("name", "length", "content_hash")
 
 
 def _g1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    changed = F.when(F.col("doc_id") % 5 == 0, F.translate("text", LOWER, LOWER.upper())).otherwise(F.col("text"))
     return named(_docs(spark, sf_dir).filter("doc_id % 7 <> 0").withColumn("text", changed)).select("name", "length", "content_hash")
 
 
-G_SQL = """n AS (SELECT doc_id, source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 8, '0') AS name, text AS t0, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS t1 FROM documents),
+G_SQL = f"""n AS (SELECT doc_id, source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 8, '0') AS name, text AS t0, CASE WHEN doc_id % 5 = 0 THEN translate(text, '{LOWER}', '{LOWER.upper()}') ELSE text END AS t1 FROM documents),
 g0 AS (SELECT name, strlen(t0)::BIGINT AS length, sha256(t0) AS content_hash FROM n WHERE doc_id % 10 <> 0), g1 AS (SELECT name, strlen(t1)::BIGINT AS length, sha256(t1) AS content_hash FROM n WHERE doc_id % 7 <> 0),
 df AS (SELECT coalesce(g0.name, g1.name) AS name, CASE WHEN g0.name IS NULL THEN 'added' WHEN g1.name IS NULL THEN 'dropped' WHEN g0.content_hash = g1.content_hash AND g0.length = g1.length THEN 'inherited' ELSE 'changed' END AS change, g0.length AS old_length, g1.length AS new_length FROM g0 FULL OUTER JOIN g1 ON g0.name = g1.name)"""
 X_SQL = f"""{G_SQL}, x0 AS (SELECT name, length, (sum(length) OVER (ORDER BY name) - length)::BIGINT AS stream_offset FROM g0), l0 AS (SELECT sum(length)::BIGINT AS l FROM g0),

@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset: a temporary one if all runs on this machine, else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="brindle-"))
     return sc.getCheckpointDir()
 
 
@@ -43,12 +46,20 @@ def entries(docs: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """A file tree as entries: name relative to path, length, content, content_hash, mtime_ns."""
+    """A file tree as entries: name relative to path, length, content, content_hash, mtime_ns.
+
+    The reader passes over empty files, which come from its list of files, that the driver holds anyway; their mtime_ns is null.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.rstrip("/") + "/"
     name = F.substring_index("path", root, -1)
     out = f.select(name.alias("name"), F.col("length").cast("long").alias("length"), "content", F.sha2("content", 256).alias("content_hash"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
-    return running_ordered(out, "name", F.lit(1), "ord")
+    one = lambda p: F.regexp_replace(p, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+    every = spark.createDataFrame([(p,) for p in f.inputFiles()], "path string").select(one("path").alias("path"))
+    empty = every.join(f.select(one("path").alias("path")), "path", "left_anti")
+    none = F.lit(b"")
+    out = out.union(empty.select(F.substring_index("path", root, -1), F.lit(0).cast("long"), none, F.sha2(none, 256), F.lit(None).cast("long")))
+    return running_ordered(staged(out), "name", F.lit(1), "ord")
 
 
 def has_magic(content: str, magic: bytes) -> F.Column:

@@ -135,3 +135,23 @@ def test_digest_columns(spark):
     got = {r["k"]: (r["c"], r["b"]) for r in digests.with_digest(digests.with_digest(df, "data", "c"), "data", "b", "blake3").collect()}
     assert got[2] == (None, None) and got[3][0] == 0 and got[1][0] == digests.crc32c(b"abc") and got[1][1] == digests.blake3(b"abc").hex()
     assert zlib.crc32(b"abc") != got[1][0]
+
+
+@pytest.mark.parametrize(("n", "window"), [(0, 4), (3, 4), (4, 4), (5, 4), (1023, 7), (1024, 16), (1025, 1024), (5000, 64), (2048, 3)])
+def test_rolling_crc_is_that_of_each_window(n, window):
+    data = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
+    got = digests.rolling_crc32c(data, window)
+    assert len(got) == max(0, n - window + 1)
+    for i in range(0, len(got), 37):
+        assert got[i] == digests.crc32c(data[i : i + window])
+
+
+def test_crc_of_long_strings_is_combined():
+    rng = np.random.default_rng(3)
+    blobs = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, digests.BLOCK - 1, digests.BLOCK, digests.BLOCK + 1, 3 * digests.BLOCK + 77)]
+    for b, c in zip(blobs, digests.crc32c_many(blobs)):
+        state = 0xFFFFFFFF
+        for x in b:
+            state = int(digests._TABLE[(state ^ x) & 0xFF]) ^ (state >> 8)
+        assert c == state ^ 0xFFFFFFFF
+    assert digests.crc32c(b"123456789") == 0xE3069283

@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import coding, layout, resync
+from brindle.functions import gf
+from brindle.operators import chain, coding, layout, repair, resync
 from brindle.operators.ordered import running_ordered, split_points
+from brindle.plans import planner
+from brindle.sources import catalog, sets
 from brindle.streaming.encode import encode_stream
 
 
@@ -64,3 +67,111 @@ def test_aliases_and_empty_entries(spark):
     assert p == {0: (0, 0), 1: (1, 5), 2: (0, 0), 3: (3, 5), 4: (0, 0), 5: (5, 5)}
     m = {r["ord"]: r["canonical_ord"] for r in layout.file_dedup(e, 2).collect()}
     assert (m[0], m[2], m[4]) == (0, 0, 4)
+
+
+def test_long_lineage_and_cycles(spark):
+    gens = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)], "generation int, parent int")
+    got = chain.lineage(gens)
+    assert got.count() == 150 * 151 // 2 and got.filter("generation - ancestor <> depth").count() == 0
+    for rows in ([(0, 1), (1, 0), (2, None)], [(0, None), (1, 9)]):
+        with pytest.raises(ValueError):
+            chain.lineage(spark.createDataFrame(rows, "generation int, parent int"))
+
+
+def test_copies_are_one_source(spark):
+    """4,000 equal entries: damaged ones meet one source, not every intact copy."""
+    from brindle import queries
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    was, queries._docs = queries._docs, lambda spark, sf: docs
+    try:
+        got = queries.copy_sources(spark, "")
+        assert got.count() == 800 and got.filter("source_ord <> 1").count() == 0
+    finally:
+        queries._docs = was
+
+
+def test_columns_with_equal_erasures_are_a_group(spark):
+    e = spark.createDataFrame([(s, c) for c, lost in enumerate([[1, 5], [5, 1], [2], [1, 6], []]) for s in lost], "slice long, col long")
+    assert sorted((r["depth"], r["columns"], r["first_col"]) for r in layout.column_groups(e).collect()) == [(1, 1, 2), (2, 1, 3), (2, 2, 0)]
+
+
+def test_sets_are_coded_on_their_own(spark):
+    rng = np.random.default_rng(9)
+    data = [rng.integers(0, 256, 64, dtype=np.uint8).tobytes() for _ in range(25)]
+    s = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], "slice long, data binary").repartition(7)
+    got = {(r["set_no"], r["exponent"]): bytes(r["data"]) for r in coding.encode_sets(s, 10, 3, 64).collect()}
+    assert len(got) == 9
+    for k in range(3):
+        part = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data[10 * k : 10 * k + 10])], "slice long, data binary")
+        assert {e: bytes(d) for e, d in coding.encode(part, 3, 64).collect()} == {e: x for (g, e), x in got.items() if g == k}
+    with pytest.raises(ValueError):
+        coding.encode_sets(s, 250, 10, 64)
+
+
+@pytest.mark.parametrize("bits", [8, 16])
+def test_sums_are_products(bits):
+    rng = np.random.default_rng(bits)
+    c, x = rng.integers(0, 1 << bits, 11), rng.integers(0, 256, 4002, dtype=np.uint8)
+    sums = gf.Sums(11, 4002, bits)
+    sums.add(c, x)
+    sums.add(c[::-1].copy(), x[:101])
+    y = np.r_[x[:101], np.zeros(4002 - 101, np.uint8)]
+    for i, row in enumerate(sums.rows()):
+        kind = np.uint8 if bits == 8 else np.dtype("<u2")
+        want = gf.scale(int(c[i]), x.view(kind), bits) ^ gf.scale(int(c[::-1][i]), y.view(kind), bits)
+        assert row == want.astype(kind).tobytes()
+
+
+def test_repair_needs_enough_recovery(spark):
+    s = spark.createDataFrame([(i, bytearray(bytes([i]) * 130)) for i in range(9)], "slice long, data binary")
+    cells = repair.split_cells(s, 130, 64)
+    assert cells.count() == 27 and {len(r["data"]) for r in cells.filter("col = 2").collect()} == {2}
+    recovery = coding.encode(s, 2, 130)
+    bad = spark.createDataFrame([(1, 0), (3, 0), (3, 2)], "slice long, col long")
+    got = {(r["slice"], r["col"]): bytes(r["data"]) for r in repair.decode(cells, recovery, bad, 130, 64).collect()}
+    assert got == {(1, 0): b"\1" * 64, (3, 0): b"\3" * 64, (3, 2): b"\3" * 2}
+    with pytest.raises(ValueError):
+        repair.decode(cells, recovery, spark.createDataFrame([(1, 0), (3, 0), (5, 0)], "slice long, col long"), 130, 64)
+    assert repair.decode(cells, recovery, bad.limit(0), 130, 64).count() == 0
+
+
+def test_missing_and_damaged_cells_are_told(spark):
+    s = spark.createDataFrame([(i, bytearray(bytes([i]) * 128)) for i in range(4)], "slice long, data binary")
+    cells = repair.split_cells(s, 128, 64)
+    stored = repair.tags(cells)
+    seen = cells.filter("slice <> 2").withColumn("data", F.when((F.col("slice") == 1) & (F.col("col") == 1), F.lit(b"x")).otherwise(F.col("data")))
+    got = {(r["slice"], r["col"]): r["status"] for r in repair.verify(seen, stored).collect()}
+    assert got[2, 0] == got[2, 1] == "missing" and got[1, 1] == "damaged" and sum(x == "ok" for x in got.values()) == 5
+
+
+def test_a_file_tree_is_a_catalogue(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.bin").write_bytes(b"BRNDL\1 old")
+    (tmp_path / "a" / "y").write_bytes(b"")
+    got = {r["name"]: r for r in catalog.files(spark, f"{tmp_path}/a").withColumn("old", catalog.has_magic("content", b"BRNDL\1")).collect()}
+    assert set(got) == {"b/x.bin", "y"} and got["b/x.bin"]["old"] and not got["y"]["old"] and got["y"]["length"] == 0 and got["b/x.bin"]["ord"] == 0
+
+
+def test_planner_words():
+    assert planner.explain(10_000, 4096, 2)["slices"] == 3 and planner.volume_name("s", 3, 4, 37).startswith("s.v03+")
+    assert 1 <= planner.repair_crossover(200, 1 << 20) <= 201 and planner.repair_crossover(2, 64) >= planner.repair_crossover(2000, 64)
+
+
+def test_stale_rules(spark):
+    d = spark.createDataFrame([(1, 1, True), (1, 2, False), (None, None, False)], "old int, new int, differs boolean")
+    for policy, want in (("none", [False] * 3), ("hash", [True, False, False]), ("stat", [False, True, False])):
+        assert [r[0] for r in d.select(chain.stale(F.col("old"), F.col("new"), policy, F.col("differs"))).collect()] == want
+
+
+def test_a_third_generation_inherits_from_the_first(spark, tmp_path):
+    path = str(tmp_path / "set")
+    rows = [("a", 3, "ha"), ("b", 5, "hb"), ("c", 0, "hc")]
+    for more in ([], [("d", 2, "hd")], [("e", 4, "he")]):
+        rows = rows + more
+        sets.add_generation(spark, path, spark.createDataFrame(rows, "name string, length long, content_hash string"), 64)
+    got = {r["name"]: r["owner"] for r in sets.effective(spark, path, 2).collect()}
+    assert got == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 2}
+    g = {r["generation"]: (r["stream_base"], r["stream_length"], r["linked"]) for r in sets.generations(spark, path).collect()}
+    assert g == {0: (0, 8, True), 1: (8, 2, True), 2: (10, 4, True)}
+    assert sets.lineage_of(spark, path).count() == 6

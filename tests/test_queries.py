@@ -2,7 +2,7 @@
 
 import pytest
 
-from brindle import queries
+from brindle import queries, set_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
