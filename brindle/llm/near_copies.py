@@ -10,11 +10,13 @@ class sends grow as a power of 0.24 of it, and the pairs compared in proportion
 of the fingerprints' first word, node pairs beyond the error budget being dropped, and what is left is compared in SKETCH_WORDS words.
 Budgets lie three standard deviations beyond p.
 
-Candidates are verified in two passes. The first takes a random forest of each band group's candidates (a group of more than HOT rows
-is dealt out at random, so each part has a forest). The second takes every candidate whose ends the verified links of the first don't
-connect; a group of more than HOT rows is then cut into parts that hold one tree each, or many small ones, and pairs of parts are
-joined, unless both are of the same tree. So a group of near copies of any size is dealt out, and no candidate is left out. What
-remains quadratic is a band of many texts that aren't near copies of one another.
+In a group, the closest candidates are linked first, to a spanning forest of them; pairs with many candidates don't leave the task. The
+forests' components hold every candidate pair (of a group of more than HOT rows, all are put into one component, and its parts are
+joined on their own). The forests' links are then verified, and what they connect has one root. A component of several roots is
+settled as a whole: its members come together with their shingle sets, and candidates of different roots are verified, the closest
+first, until what is left is known not to be a link. A component of more than CELL members is cut into parts that hold one root each,
+or many small ones, and pairs of parts come together, unless both have the same root. So a group of near copies of any size is dealt
+out, and no candidate is left out. What remains quadratic is a component of many texts that aren't near copies of one another.
 
 Nulls: a null text counts as an empty one; empty texts are copies of one another. A null id is larger than any other. Rows are told by
 their number in a written table, so that rows equal in any columns are different documents, one of which stays. Texts are read whole.
@@ -44,10 +46,13 @@ MISS = 0.005
 SKETCH_WORDS = 3
 #: 64-bit words of a fingerprint at most; bands that need more bits take each bit again, in other company.
 WORDS = 8
-#: Rows of a band group that one task takes at once.
+#: Rows of a band group that one task takes at once, and members of a component, which bring their shingles with them.
 HOT = 50_000
-#: Candidates that a group holds before those within trees are dropped.
-HELD = 1 << 20
+CELL = 4_000
+#: Shares of the budget in which candidates are looked for, one after the other.
+SHELLS = (0.5, 0.75, 1.0)
+#: Keys that a worker counts before it sends their counts.
+COUNTED = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -155,77 +160,140 @@ def _rows(how: Bands):
 
 
 def _counts(how: Bands):
+    """Classes (wide) to (key, n); each worker counts most of what it has read before it sends anything."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            u, place = np.unique(keys, return_inverse=True)
+            return u, np.bincount(place, n).astype(np.int64)
+
         for b in parts(batches, 4000):
-            for key in _keys(b.column(0).to_pylist(), how):
-                u, n = np.unique(key, return_counts=True)
-                yield pa.record_batch([pa.array(u), pa.array(n)], ["key", "n"])
+            held += [np.unique(key, return_counts=True) for key in _keys(b.column(0).to_pylist(), how)]
+            if sum(len(u) for u, _ in held) > COUNTED:
+                held = [merged()]
+                if len(held[0][0]) > COUNTED // 2:
+                    yield pa.record_batch([pa.array(x) for x in held.pop()], ["key", "n"])
+        if held:
+            yield pa.record_batch([pa.array(x) for x in merged()], ["key", "n"])
 
     return run
 
 
 class _Candidates:
-    """Pairs of a group within `differ` bits and of different roots: a random forest of them, or all if `every`."""
+    """Candidates of a group of fingerprints as a forest of different roots, found in shells: within `differ` bits and beyond `above`."""
 
-    def __init__(self, sketch: np.ndarray, root: np.ndarray, differ: int, every: bool, seed: int) -> None:
-        self.sketch, self.differ, self.every = sketch, differ, every
-        self.forest, self.found, self.held = _Forest(len(sketch), np.random.default_rng(seed)), [], 0
+    def __init__(self, sketch: np.ndarray, root: np.ndarray, seed: int = 0) -> None:
+        self.sketch, self.above, self.differ = sketch, -1, 0
+        self.forest = _Forest(len(sketch), np.random.default_rng(seed))
         self.forest.label = np.unique(root, return_inverse=True)[1]
 
+    def bits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n = self.bits(i, j)
+        return (n > self.above) & (n <= self.differ)
+
+    def grow(self, how: Bands) -> _Forest:
+        for share in SHELLS:
+            self.differ = int(how.differ * share)
+            trie_links(self.sketch[:, 0], min(how.first, self.differ), leaf=1 << 16, near=self.near, forest=self.forest)
+            self.above = self.differ
+        return self.forest
+
+
+class _Verified(_Candidates):
+    """Those candidates that are links by their shingle sets."""
+
+    def __init__(self, sketch: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: int) -> None:
+        super().__init__(sketch, root)
+        self.sets, self.similarity, self.sizes = sets, similarity, np.array([len(x) for x in sets])
+
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64) <= self.differ
-        if self.every:
-            self.found.append(np.stack([i[near], j[near]]))
-            return np.zeros(len(i), bool)
-        return near
+        n, x, y = self.bits(i, j), self.sizes[i], self.sizes[j]
+        # sets whose sizes differ too much can't be alike
+        some = np.flatnonzero((n > self.above) & (n <= self.differ) & (np.minimum(x, y) * 10_000 >= np.maximum(x, y) * self.similarity))
+        for k in some[np.argsort(n[some], kind="stable")].tolist():
+            a, b = i[k], j[k]
+            if self.forest.label[a] != self.forest.label[b] and _alike(self.sets[a], self.sets[b], self.similarity):
+                self.forest.join(i[k : k + 1], j[k : k + 1])
+        return np.zeros(len(i), bool)
+
+
+def _alike(s: np.ndarray, t: np.ndarray, similarity: int) -> bool:
+    n = len(np.intersect1d(s, t, assume_unique=True))
+    return n * 10_000 >= (len(s) + len(t) - n) * similarity
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], solve, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """solve(batch) of whole groups of rows that are sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+
+    def table(*more: pa.RecordBatch) -> pa.Table:
+        return pa.Table.from_batches([*held, *more]).combine_chunks()
+
+    for batch in _larger(batches, rows):
+        k = batch.column(0).to_numpy()
+        last = int(np.searchsorted(k, k[-1]))  # where the group begins that may go on
+        if last:
+            yield solve(table(batch.slice(0, last)))
+            held = []
+        elif held and held[-1].column(0)[-1].as_py() != k[0]:
+            yield solve(table())
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield solve(table())
+
 
-    def pairs(self) -> np.ndarray:
-        return np.concatenate([np.zeros((2, 0), np.int64), *self.found, np.array(self.forest.links, np.int64).reshape(-1, 2).T], axis=1)
+def _spans(grp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where groups of two rows and more begin and end."""
+    starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+    yield from ((s, e) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(grp)]) if e - s > 1)
 
 
-def _links(how: Bands, every: bool):
-    """Rows (grp, cid, root, sketch), sorted by grp, to candidates (a, b) within the groups."""
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (a, b))
+    return pa.record_batch([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
-    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
+
+def _forests(how: Bands):
+    """Rows (grp, cid, root, sketch), sorted by grp, to the groups' forests (a, b)."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
         grp, cid, root = (t.column(i).to_numpy() for i in range(3))
         sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(len(t), SKETCH_WORDS)
-        starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
         a, b = [], []
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(grp)]):
-            if e - s < 2:
-                continue
+        for s, e in _spans(grp):
             order = s + np.lexsort((cid[s:e], sketch[s:e, 0]))
-            found = _Candidates(sketch[order], root[order], how.differ, every, int(grp[s]) & 0xFFFFFFFF)
-            trie_links(sketch[order, 0], how.first, leaf=1 << 16, near=found.near, forest=found.forest)
-            i, j = found.pairs()
-            a.append(cid[order][i])
-            b.append(cid[order][j])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-        return pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            links = np.array(_Candidates(sketch[order], root[order], int(grp[s]) & 0xFFFFFFFF).grow(how).links, np.int64).reshape(-1, 2)
+            a.append(cid[order][links[:, 0]])
+            b.append(cid[order][links[:, 1]])
+        return _pairs(a, b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in _larger(batches):
-            k = batch.column(0).to_numpy()
-            last = int(np.searchsorted(k, k[-1]))  # where the group begins that may go on
-            if last:
-                yield links([*held, batch.slice(0, last)])
-                held = []
-            elif held and held[-1].column(0)[-1].as_py() != k[0]:
-                yield links(held)
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield links(held)
+    return lambda batches: _grouped(batches, solve)
 
-    return run
 
+def _settled(how: Bands, similarity: int):
+    """Rows (grp, cid, root, sketch, grams), sorted by grp, to verified links (a, b) of different roots."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        grp, cid, root = (t.column(i).to_numpy() for i in range(3))
+        sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(len(t), SKETCH_WORDS)
+        lists = t.column(4).combine_chunks()
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        a, b = [], []
+        for s, e in _spans(grp):
+            order = s + np.lexsort((cid[s:e], sketch[s:e, 0]))
+            links = np.array(_Verified(sketch[order], root[order], [flat[ends[i] : ends[i + 1]] for i in order], similarity).grow(how).links, np.int64).reshape(-1, 2)
+            a.append(cid[order][links[:, 0]])
+            b.append(cid[order][links[:, 1]])
+        return _pairs(a, b)
 
-def _joined(rows: DataFrame, how: Bands, every: bool) -> DataFrame:
-    """Candidates (a, b), a > b, of rows (grp, cid, root, sketch)."""
-    sorted_ = rows.select("grp", "cid", "root", "sketch").repartition("grp").sortWithinPartitions("grp")
-    return sorted_.mapInArrow(_links(how, every), "a long, b long").distinct()
+    return lambda batches: _grouped(batches, solve, 500)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -237,93 +305,96 @@ _ROWS = "key long, cid long, root long, sketch binary"
 
 
 def forest(classes: DataFrame, how: Bands, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Of classes (cid, wide): (a, b), random forests of the candidates of each group; and (key), the groups of more than `hot` rows."""
+    """Of classes (cid, wide): (a, b), the forests of all band groups; and (a, b) that put the members of a group of more than `hot` rows together."""
     crowded = classes.select("wide").mapInArrow(_counts(how), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
     crowded = cut(crowded.select("key", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
     rows = classes.select("cid", "wide", F.col("cid").alias("root")).mapInArrow(_rows(how), _ROWS)
     part = F.pmod(F.xxhash64("cid", "key"), F.col("parts"))
     dealt = rows.join(_small(crowded), "key", "left").withColumn("grp", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part)))
-    return _joined(dealt, how, False), crowded.select("key")
-
-
-def every(classes: DataFrame, how: Bands, hot: int = HOT) -> DataFrame:
-    """(a, b): all candidates of different roots among classes (cid, wide, root)."""
-    rows = classes.select("cid", "wide", "root").mapInArrow(_rows(how), _ROWS)
-    trees = cut(rows.groupBy("key", "root").agg(F.count("*").alias("n")))
-    groups = cut(trees.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1"))
-    plain = rows.join(_small(groups.filter(F.col("n") <= hot).select("key")), "key", "left_semi").withColumn("grp", F.col("key"))
-    crowded = groups.filter(F.col("n") > hot).withColumnRenamed("n", "total").drop("roots")
+    links = dealt.select("grp", "cid", "root", "sketch").repartition("grp").sortWithinPartitions("grp").mapInArrow(_forests(how), "a long, b long").distinct()
     if crowded.isEmpty():
-        return _joined(plain, how, True)
+        return links, links.limit(0)
+    members = cut(rows.select("key", "cid").join(_small(crowded.select("key")), "key"))
+    first = members.groupBy("key").agg(F.min("cid").alias("b"))
+    return links, members.join(_small(cut(first)), "key").select(F.col("cid").alias("a"), "b").filter("a <> b").distinct()
+
+
+def cells(members: DataFrame, cell: int = CELL) -> DataFrame:
+    """members (comp, cid, root) of components of several roots, with grp: what is verified together. A large component's members are in several."""
+    trees = cut(members.groupBy("comp", "root").agg(F.count("*").alias("n")))
+    comps = cut(trees.groupBy("comp").agg(F.sum("n").alias("total"), F.count("*").alias("roots")).filter("roots > 1").drop("roots"))
+    plain = members.join(_small(comps.filter(F.col("total") <= cell).select("comp")), "comp").withColumn("grp", F.col("comp"))
+    large = comps.filter(F.col("total") > cell)
+    if large.isEmpty():
+        return plain
     # parts of half the size: a large tree has its own, small ones share some
-    half = max(1, hot // 2)
-    told = trees.join(crowded, "key").withColumn("pure", F.when(F.col("n") > half, F.col("root")))
-    told = told.withColumn("parts", F.when(F.col("pure").isNull(), F.ceil(F.col("total") / half)).otherwise(F.ceil(F.col("n") / half)).cast("int"))
-    told = cut(told.select("key", "root", "pure", "parts"))
-    own = told.filter("pure is not null").select("key", "pure", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
-    shared = told.filter("pure is null").select("key", "pure", F.pmod(F.xxhash64("root"), F.col("parts")).cast("int").alias("i")).distinct()
-    parts = cut(own.union(shared).withColumn("part", F.xxhash64("key", F.coalesce("pure", F.lit(-1)), "i")))
-    x, y = (parts.select("key", F.col("pure").alias(f"{n}_pure"), F.col("part").alias(n)) for n in "xy")
-    cells = x.join(y, "key").filter((F.col("x") <= F.col("y")) & F.coalesce(F.col("x_pure") != F.col("y_pure"), F.lit(True)))
-    cells = cells.withColumn("grp", F.xxhash64("key", "x", "y")).select(F.explode(F.array_distinct(F.array("x", "y"))).alias("part"), "grp")
+    half = max(1, cell // 2)
+    told = trees.join(large, "comp").withColumn("pure", F.when(F.col("n") > half, F.col("root")))
+    told = cut(told.withColumn("parts", F.ceil(F.when(F.col("pure").isNull(), F.col("total")).otherwise(F.col("n")) / half).cast("int")).select("comp", "root", "pure", "parts"))
+    own = told.filter("pure is not null").select("comp", "pure", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    shared = told.filter("pure is null").select("comp", "pure", F.pmod(F.xxhash64("root"), F.col("parts")).cast("int").alias("i")).distinct()
+    part = F.xxhash64("comp", F.coalesce("pure", F.lit(-1)), "i")
+    parts_ = cut(own.union(shared).select("comp", "pure", part.alias("part")))
+    x, y = (parts_.select("comp", F.col("pure").alias(f"{n}_pure"), F.col("part").alias(n)) for n in "xy")
+    both = x.join(y, "comp").filter((F.col("x") <= F.col("y")) & F.coalesce(F.col("x_pure") != F.col("y_pure"), F.lit(True)))
+    both = cut(both.withColumn("grp", F.xxhash64("comp", "x", "y")).select(F.explode(F.array_distinct(F.array("x", "y"))).alias("part"), "grp"))
     i = F.when(F.col("pure").isNull(), F.pmod(F.xxhash64("root"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("parts"))).cast("int")
-    dealt = rows.join(_small(told), ["key", "root"]).withColumn("part", F.xxhash64("key", F.coalesce("pure", F.lit(-1)), i))
-    dealt = dealt.join(_small(cut(cells)), "part").select("key", "cid", "root", "sketch", "grp")
-    return _joined(plain.select("key", "cid", "root", "sketch", "grp").union(dealt), how, True)
+    dealt = members.join(_small(told), ["comp", "root"]).withColumn("i", i).withColumn("part", part)
+    return plain.union(dealt.join(_small(both), "part").select("comp", "cid", "root", "grp"))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of `similarity` / 10000 or more; texts has (cid, text)."""
+def _grams(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(cid, grams): the shingle hashes of the texts (cid, text) of nodes (cid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "grams"])
+        for b in parts(batches):
+            yield pa.record_batch([b.column(0), pa.array([shingle_hashes(t, shingle).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["cid", "grams"])
 
-    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return texts.join(_small(nodes), "cid", "left_semi").select("cid", "text").mapInArrow(run, "cid long, grams array<long>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose shingle sets, of (cid, grams), have a Jaccard similarity of `similarity` / 10000 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            x, y = b.column(2), b.column(3)
-            keep = []
-            for i in range(b.num_rows):
-                s, t = x[i].values.to_numpy(), y[i].values.to_numpy()
-                n = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(n * 10_000 >= (len(s) + len(t) - n) * similarity)
+            keep = [_alike(x.values.to_numpy(), y.values.to_numpy(), similarity) for x, y in zip(b.column(2), b.column(3))]
             yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-    sets = cut(texts.join(_small(nodes), "cid", "left_semi").select("cid", "text").mapInArrow(run, "cid long, grams array<long>"))
     x, y = (sets.select(F.col("cid").alias(c), F.col("grams").alias(f"of_{c}")) for c in ("a", "b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(jaccard, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def groups(rows: DataFrame, how: Bands, shingle: int = SHINGLE, similarity: int = SIMILARITY, hot: int = HOT) -> DataFrame:
+def groups(rows: DataFrame, how: Bands, shingle: int = SHINGLE, similarity: int = SIMILARITY, hot: int = HOT, cell: int = CELL) -> DataFrame:
     """(cid, root, best) of each class of rows (row, doc_id, text): best = (no_id, doc_id, row) of the class's first document, cid = best.row."""
     fps = rows.select("row", "doc_id", "text").mapInArrow(_fingerprints(how.words, shingle), "row long, doc_id long, set_key binary, wide binary")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     classes = cut(fps.groupBy("set_key").agg(best.alias("best"), F.max("wide").alias("wide")).select("best.row", "best", "wide").withColumnRenamed("row", "cid"))
     texts = rows.select(F.col("row").alias("cid"), "text")
-    found, crowded = forest(classes, how, hot)
-    found = cut(found)
-    sure = cut(alike(found, texts, shingle, similarity))
-    comp = cut(components(sure))
-    # whatever has a candidate, or may have had one in another part of its group
-    met = found.select(F.explode(F.array("a", "b")).alias("cid"))
-    if not crowded.isEmpty():
-        met = met.union(classes.select("cid", "wide", F.col("cid").alias("root")).mapInArrow(_rows(how), _ROWS).join(_small(crowded), "key", "left_semi").select("cid"))
-    some = classes.join(_small(cut(met.distinct())), "cid", "left_semi").join(comp, F.col("cid") == F.col("node"), "left")
-    rest = cut(every(cut(some.select("cid", "wide", F.coalesce("root", "cid").alias("root"))), how, hot).join(found, ["a", "b"], "left_anti"))
-    comp = components(sure.union(cut(alike(rest, texts, shingle, similarity))))
+    links, together = forest(classes, how, hot)
+    links = cut(links)
+    comp = cut(components(links.union(together)))  # (node, root): all candidates of a class are in its component
+    sets = cut(_grams(texts, comp.select(F.col("node").alias("cid")), shingle))
+    sure = cut(alike(links, sets, similarity))
+    trees = cut(components(sure))
+    members = comp.select(F.col("node").alias("cid"), F.col("root").alias("comp")).join(trees.withColumnRenamed("node", "cid"), "cid", "left")
+    members = cut(members.select("comp", "cid", F.coalesce("root", "cid").alias("root")))
+    dealt = cut(cells(members, cell))
+    sketch = F.substring("wide", 1, 8 * SKETCH_WORDS).alias("sketch")
+    full = dealt.join(classes.select("cid", sketch), "cid").join(sets, "cid").select("grp", "cid", "root", "sketch", "grams")
+    rest = cut(full.repartition("grp").sortWithinPartitions("grp").mapInArrow(_settled(how, similarity), "a long, b long"))
+    comp = components(sure.union(rest))
     return classes.join(comp, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "best")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY, hot: int = HOT) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY, hot: int = HOT, cell: int = CELL) -> DataFrame:
     """docs with one row of each group of near copies: the one of the smallest id (nulls last). Rows and columns stay as they are."""
     names = [f"k{i}" for i in range(len(docs.columns))]
     keyed = cut(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
     of = dict(zip(docs.columns, names))
     rows = keyed.select("row", F.col(of[id_col]).cast("long").alias("doc_id"), F.col(of[text_col]).cast("string").alias("text"))
     n = keyed.count()
-    stay = groups(rows, bands_for(n, similarity), shingle, similarity, hot).groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    stay = groups(rows, bands_for(n, similarity), shingle, similarity, hot, cell).groupBy("root").agg(F.min("best").alias("best")).select("best.row")
     stay = cut(stay)
     if n - stay.count() <= BROADCAST_ROWS:
         gone = cut(keyed.select("row").join(stay, "row", "left_anti"))

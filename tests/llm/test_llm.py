@@ -418,8 +418,8 @@ def test_crowded_bands_change_nothing(spark):
     near = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
     want = {i for i, c in enumerate(_components(len(rows), near)) if i == c}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for hot in (near_copies.HOT, 20):
-        got = {r["doc_id"] for r in near_copies.drop_near_copies(df, hot=hot).collect()}
+    for hot, cell in ((near_copies.HOT, near_copies.CELL), (20, 16)):
+        got = {r["doc_id"] for r in near_copies.drop_near_copies(df, hot=hot, cell=cell).collect()}
         assert want <= got and len(got - want) <= 0.03 * len(rows)  # a link at the threshold may be missed
     how = near_copies.bands_for(len(rows))
     classes = spark.createDataFrame([(i, near_copies.wide_fingerprint(near_copies.shingle_hashes(t), how.words), i) for i, t in rows], "cid long, wide binary, root long")
