@@ -60,7 +60,7 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
 
 
 def buckets_for(rows: int, rows_each: int = 50_000) -> int:
-    return max(8, -(-rows // rows_each))
+    return max(64, -(-rows // rows_each))
 
 
 def running(df: DataFrame, name: str, weight: Column, by: list[str], tie: list[str], buckets: int, *, before: bool = True) -> DataFrame:
