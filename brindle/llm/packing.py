@@ -37,7 +37,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 1
 WINDOW = 2048
 #: Bytes that a worker's words and their ids may take; beyond, it starts afresh with the next batch.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 128 << 20
 _ENTRY_BYTES = 200
 
 
