@@ -1,7 +1,7 @@
 """Cauchy Reed-Solomon over slices: encode, decode, and the XOR of partial results.
 
 A stream longer than one set of slices is coded in sets: slice s is number s % per_set of set s // per_set, so neither the field nor a
-slice grows with the stream. A task holds the recovery slices of one set at a time.
+slice grows with the stream. A task holds the recovery slices of a few sets at a time.
 """
 
 from __future__ import annotations
@@ -17,27 +17,30 @@ from brindle.functions import gf
 
 #: Partial results that meet in one task before their sums meet.
 FAN_IN = 64
+#: Bytes of sums that a task keeps, or those of one set if they are more.
+HELD = 128 << 20
 
 
 def _partial(exponents: Callable[[int], list[int]], size: int, bits: int, per_set: int):
-    """(slice, part, data) to (part, exponent, data): sums by part, each of its own exponents; flushed when the part changes."""
+    """(slice, part, data) to (part, exponent, data): sums by part, each of its own exponents. HELD bytes of sums are kept, the oldest part's go first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = None, None
+        held: dict[int, gf.Sums] = {}
 
-        def out() -> pa.RecordBatch:
-            rows = list(zip(exponents(now), sums.rows()))
-            return pa.record_batch([pa.array([now] * len(rows), pa.int64()), pa.array([e for e, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "exponent", "data"])
+        def out(part: int) -> pa.RecordBatch:
+            rows = list(zip(exponents(part), held.pop(part).rows()))
+            return pa.record_batch([pa.array([part] * len(rows), pa.int64()), pa.array([e for e, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "exponent", "data"])
 
         for b in batches:
             for number, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if part != now:
-                    if sums:
-                        yield out()
-                    now, sums = part, gf.Sums(len(exponents(part)), size, bits)
-                sums.add(gf.coefficient(np.array(exponents(part), np.int64), number % per_set, bits), np.frombuffer(data.as_buffer(), np.uint8))
-        if sums:
-            yield out()
+                of = exponents(part)
+                if part not in held:
+                    while held and (len(held) + 1) * len(of) * size > HELD:
+                        yield out(next(iter(held)))
+                    held[part] = gf.Sums(len(of), size, bits)
+                held[part].add(gf.coefficient(np.array(of, np.int64), number % per_set, bits), np.frombuffer(data.as_buffer(), np.uint8))
+        for part in list(held):
+            yield out(part)
 
     return run
 
