@@ -31,7 +31,7 @@ from brindle.llm.common import cut, parts, table
 Q = 8
 WINDOW = 64
 RATE = 0.1
-_READY = 4
+_READY = 1
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 22
 _HASH = np.uint64(0x9E3779B97F4A7C15)
