@@ -41,19 +41,37 @@ def selected(name: Column, include: list[str], exclude: list[str]) -> Column:
     return hit(include) | (F.lit(not include) & ~hit(exclude))
 
 
+def _component_status(p: Column) -> Column:
+    """Why a component isn't valid, or null. Of control and reserved characters, the first one in it tells."""
+    bad = F.regexp_extract(p, r'([\x00-\x1f<>:"|?*\\])', 1)
+    return (
+        F.when(p == "", "empty_component").when(p == ".", "dot").when(p == "..", "dot_dot")
+        .when(bad != "", F.when(bad < " ", "control").otherwise("reserved_char"))
+        .when(p.rlike("[. ]$"), "trailing_dot_space").when(p.rlike(DEVICES), "device")
+    )
+
+
 def path_status(name: Column) -> Column:
-    """The first reason why a path isn't valid, or ok."""
-    parts = F.split(name, "/", -1)
-    some = lambda test: F.exists(parts, test)
+    """The first reason why a path isn't valid, or ok: what holds for the whole path, then the first component that has one."""
+    parts = F.transform(F.split(name, "/", -1), _component_status)
     return (
         F.when(F.octet_length(name) == 0, "empty").when(F.octet_length(name) > MOST_PATH, "too_long").when(name.startswith("/"), "absolute")
-        .when(name.rlike("^[A-Za-z]:"), "drive").when(name.startswith("\\\\"), "unc").when(name.endswith("/"), "trailing_slash")
-        .when(some(lambda p: p == ""), "empty_component").when(some(lambda p: p == "."), "dot").when(some(lambda p: p == ".."), "dot_dot")
-        .when(some(lambda p: p.rlike("[\\x00-\\x1f]")), "control").when(some(lambda p: p.rlike(r'[<>:"|?*\\]')), "reserved_char")
-        .when(some(lambda p: p.rlike(DEVICES)), "device").when(some(lambda p: p.rlike("[. ]$")), "trailing_dot_space").otherwise("ok")
+        .when(name.rlike(r"^[\x00-\x7f]:"), "drive").when(name.startswith("\\\\"), "unc").when(name.endswith("/"), "trailing_slash")
+        .otherwise(F.coalesce(F.get(F.filter(parts, lambda s: s.isNotNull()), F.lit(0)), F.lit("ok")))
     )
 
 
+def path_parts(path: Column) -> tuple[Column, Column]:
+    """Folder and base name; both slashes separate. A bare name's folder is a dot, and the root keeps its slash."""
+    base = F.regexp_extract(path, r"(?s)([^/\\]*)$", 1)
+    n = F.length(path) - F.length(base)
+    return F.when(n == 0, ".").otherwise(F.substring(path, F.lit(1), F.greatest(n - 1, F.lit(1)))), base
+
+
+def path_join(folder: Column, name: Column) -> Column:
+    return F.when((folder == "") | folder.rlike(r"[/\\]$"), F.concat(folder, name)).otherwise(F.concat(folder, F.lit("/"), name))
+
+
 def link_target_ok(target: Column) -> Column:
     return (F.octet_length(target) > 0) & (F.octet_length(target) <= MOST_PATH) & ~F.contains(target, F.lit("\x00"))
 
@@ -74,14 +92,26 @@ def size_bytes(text: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Truncated to one decimal: 1536 is 1.5 KiB."""
+    n = n.cast("long")
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        tenths = F.floor(n * 10 / F.lit(1024**i)).cast("long")
-        shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+    for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
+        tenth = F.shiftright(n.bitwiseAND(F.lit(1024**i - 1)) * 10, 10 * i)
+        shown = F.concat(F.shiftright(n, 10 * i).cast("string"), F.lit("."), tenth.cast("string"), F.lit(f" {unit}"))
         out = F.when(n >= 1024**i, shown).otherwise(out)
     return out
 
 
+def grouped(n: Column) -> Column:
+    """1234567 is 1,234,567."""
+    return F.format_number(n, 0)
+
+
+def exponent_form(n: Column) -> Column:
+    """Three leading digits, cut off: 1234567 is 1.23e6; numbers below 100 as they are."""
+    digits = n.cast("string")
+    return F.when(n < 100, digits).otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 2), F.lit("e"), (F.length(digits) - 1).cast("string")))
+
+
 def iso_time(ns: Column) -> Column:
     """Epoch nanoseconds, rounded down to seconds; null is a dash."""
     return F.coalesce(F.date_format(F.timestamp_seconds(F.floor(ns / 1_000_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("-"))

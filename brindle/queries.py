@@ -108,9 +108,9 @@ _PATHS = """CASE page_id % 13 WHEN 0 THEN tail WHEN 1 THEN '' WHEN 2 THEN concat
 
 
 @query("path_status", rf"""WITH t AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS tail FROM pages), n AS (SELECT page_id, {_PATHS} AS name FROM t), s AS (SELECT *, string_split(name, '/') AS p FROM n)
-SELECT page_id, name, CASE WHEN strlen(name) = 0 THEN 'empty' WHEN strlen(name) > 65535 THEN 'too_long' WHEN name LIKE '/%' THEN 'absolute' WHEN regexp_matches(name, '^[A-Za-z]:') THEN 'drive' WHEN starts_with(name, '\\') THEN 'unc' WHEN name LIKE '%/' THEN 'trailing_slash'
- WHEN list_contains(p, '') THEN 'empty_component' WHEN list_contains(p, '.') THEN 'dot' WHEN list_contains(p, '..') THEN 'dot_dot' WHEN len(list_filter(p, lambda x: regexp_matches(x, '[\x00-\x1f]'))) > 0 THEN 'control' WHEN len(list_filter(p, lambda x: regexp_matches(x, '[<>:"|?*\\]'))) > 0 THEN 'reserved_char'
- WHEN len(list_filter(p, lambda x: regexp_matches(x, '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])([.]|$)'))) > 0 THEN 'device' WHEN len(list_filter(p, lambda x: regexp_matches(x, '[. ]$'))) > 0 THEN 'trailing_dot_space' ELSE 'ok' END AS status FROM s""")
+SELECT page_id, name, CASE WHEN strlen(name) = 0 THEN 'empty' WHEN strlen(name) > 65535 THEN 'too_long' WHEN name LIKE '/%' THEN 'absolute' WHEN regexp_matches(name, '^[\x00-\x7f]:') THEN 'drive' WHEN starts_with(name, '\\') THEN 'unc' WHEN name LIKE '%/' THEN 'trailing_slash'
+ ELSE coalesce(list_filter(list_transform(p, lambda x: CASE WHEN x = '' THEN 'empty_component' WHEN x = '.' THEN 'dot' WHEN x = '..' THEN 'dot_dot' WHEN regexp_matches(x, '^[^\x00-\x1f<>:"|?*\\]*[\x00-\x1f]') THEN 'control' WHEN regexp_matches(x, '[<>:"|?*\\]') THEN 'reserved_char'
+ WHEN regexp_matches(x, '[. ]$') THEN 'trailing_dot_space' WHEN regexp_matches(x, '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])([.]|$)') THEN 'device' END), lambda y: y IS NOT NULL)[1], 'ok') END AS status FROM s""")
 def path_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("tail"))
     return p.select("page_id", F.expr(_PATHS).alias("name")).select("page_id", "name", text.path_status(F.col("name")).alias("status"))

@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import chain, coding, layout, manifest, repair, resync
+from brindle.functions import text
+from brindle.operators import chain, coding, layout, manifest, repair, resync, undo
 from brindle.operators.ordered import running_ordered
 from brindle.plans import planner
 from brindle.queries import C_SQL, CODE_SQL, DAMAGED, E_SQL, K, P_SQL, S_CODE, S_SQL, SPAN_SQL, X_SQL, Y, Z, _TREE, _bad, _code_slices, _docs, _g0, _g1, _placed, _slice_data, _slices, _tree, query
 from brindle.sources import sets
 from brindle.sources.catalog import named, shared_dir, staged, table
+from brindle.streaming.append import append_stream
 
 # ---- verify and repair
 
@@ -368,3 +370,69 @@ def set_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, length = p.agg(F.count("*"), F.sum(F.when(F.col("is_canonical"), F.col("length")).otherwise(0))).first()
     s = -(-length // Z)
     return spark.createDataFrame([(files, length, s, K, planner.recovery_slices(None, s, Z))], "files long, stream_length long, slices long, columns int, recovery long")
+
+
+# ---- undo
+
+#: bytes of every seventh entry that a disk had wrong, and that a repair then wrote
+HURT = 5
+_HURT_SQL = f"CASE WHEN doc_id % 7 = 3 THEN repeat('23', least({HURT}, strlen(text))) || substr(hex(encode(text)), 2 * least({HURT}, strlen(text)) + 1) ELSE hex(encode(text)) END"
+
+
+def _hurt_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = named(_docs(spark, sf_dir))
+    n = F.least(F.lit(HURT), F.octet_length("content"))
+    return e.withColumn("content", F.when(F.col("doc_id") % 7 == 3, F.overlay("content", F.expr(f"cast(repeat('#', least({HURT}, octet_length(content))) as binary)"), F.lit(1), n)).otherwise(F.col("content")))
+
+
+def _journal(spark: SparkSession, sf_dir: str) -> str:
+    before = _hurt_entries(spark, sf_dir)
+    writes = before.filter("doc_id % 7 = 3 and length > 0").select("name", F.lit(0).alias("begin"), F.least(F.lit(HURT), F.col("length")).alias("end"))
+    path = f"{shared_dir(spark)}/undo-{uuid.uuid4().hex}"
+    undo.write(spark, path, "the set", undo.records(before, writes))
+    return path
+
+
+@query("undo_journal", f"SELECT count(*) AS records, sum(least({HURT}, strlen(text)))::BIGINT AS bytes, 'complete' AS status FROM documents WHERE doc_id % 7 = 3 AND strlen(text) > 0")
+def undo_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _journal(spark, sf_dir)
+    rows = undo.scan(spark, path, "the set", named(_docs(spark, sf_dir)).select("name"))
+    return rows.agg(F.count("*").alias("records"), F.sum("length").alias("bytes"), F.lit(undo.status(spark, path)).alias("status"))
+
+
+@query("undo_roundtrip", f"WITH {E_SQL} SELECT name, sha256(unhex({_HURT_SQL})) AS digest FROM E")
+def undo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries after a repair, taken back to what they were before it."""
+    path, after = _journal(spark, sf_dir), named(_docs(spark, sf_dir))
+    return undo.replay(after, undo.scan(spark, path, "the set", after)).select("name", F.sha2("content", 256).alias("digest"))
+
+
+# ---- forms of numbers and paths
+
+
+@query("number_forms", """WITH n AS (SELECT p_partkey, p_partkey * p_partkey * p_size * 50 AS n FROM part)
+SELECT p_partkey, trim(format('{:,}', n)) AS grouped, CASE WHEN n < 100 THEN n::VARCHAR ELSE substr(n::VARCHAR, 1, 1) || '.' || substr(n::VARCHAR, 2, 2) || 'e' || (length(n::VARCHAR) - 1) END AS short FROM n""")
+def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    n = table(spark, sf_dir, "part").select(k, (k * k * F.col("p_size") * 50).cast("long").alias("n"))
+    return n.select("p_partkey", text.grouped(F.col("n")).alias("grouped"), text.exponent_form(F.col("n")).alias("short"))
+
+
+@query("path_parts", """SELECT page_id, CASE WHEN len(b) = len(url) THEN '.' ELSE substr(url, 1, greatest(len(url) - len(b) - 1, 1)) END AS folder, b AS base FROM (SELECT page_id, url, string_split(replace(url, chr(92), '/'), '/')[-1] AS b FROM pages) t""")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, base = text.path_parts(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", folder.alias("folder"), base.alias("base"))
+
+
+# ---- generations from a stream
+
+
+@query("stream_generations", "SELECT doc_id % 2 AS generation, sum(strlen(text))::BIGINT AS stream_length FROM documents GROUP BY 1")
+def stream_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of a stream of entries, each of which becomes a generation."""
+    base = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    for k in (0, 1):
+        named(_docs(spark, sf_dir).filter(F.col("doc_id") % 2 == k)).select("name", "length", "content_hash").coalesce(1).write.mode("append").parquet(base)
+    changes = spark.readStream.schema("name string, length long, content_hash string").option("maxFilesPerTrigger", 1).parquet(base)
+    append_stream(spark, f"{base}-set", changes, Z)
+    return sets.generations(spark, f"{base}-set").filter("linked").select("generation", "stream_length")

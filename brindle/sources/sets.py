@@ -46,10 +46,13 @@ def set_identity(files: DataFrame) -> str:
     return hashlib.sha256("".join(r["h"] for r in rows).encode()).hexdigest()
 
 
-def add_generation(spark: SparkSession, path: str, entries: DataFrame, slice_size: int) -> int:
-    """Stores entries (name, length, content_hash) as the next generation and gives its number; what the newest one holds already isn't stored again."""
+def add_generation(spark: SparkSession, path: str, entries: DataFrame, slice_size: int, number: int | None = None) -> int:
+    """Stores entries (name, length, content_hash) as the next generation and gives its number; what the newest one holds already isn't stored again.
+
+    number: of a writer that may run again, its own; the generation before it is the newest then.
+    """
     try:
-        old = read(spark, path, "set").orderBy(F.desc("generation")).first()
+        old = read(spark, path, "set").filter("true" if number is None else f"generation < {number}").orderBy(F.desc("generation")).first()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

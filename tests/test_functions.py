@@ -155,3 +155,45 @@ def test_crc_of_long_strings_is_combined():
             state = int(digests._TABLE[(state ^ x) & 0xFF]) ^ (state >> 8)
         assert c == state ^ 0xFFFFFFFF
     assert digests.crc32c(b"123456789") == 0xE3069283
+
+
+def test_paths_by_component(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.functions import text
+
+    known = {"a<b/./c": "reserved_char", "./a<b": "dot", "a\x01<": "control", "a<\x01": "reserved_char", "con.": "trailing_dot_space", "x/LPT1.c": "device",
+             "1:x": "drive", "com0": "ok", "a//con": "empty_component", "": "empty", "a/": "trailing_slash", "é:x": "reserved_char"}
+    rows = spark.createDataFrame([(k,) for k in known], "n string").select("n", text.path_status(F.col("n")).alias("s"))
+    assert {r["n"]: r["s"] for r in rows.collect()} == known
+    parts = {"a/b": ("a", "b"), "b": (".", "b"), "/b": ("/", "b"), "a\\b/c": ("a\\b", "c"), "a/": ("a", "")}
+    got = spark.createDataFrame([(k,) for k in parts], "n string").select("n", *[c.alias(x) for c, x in zip(text.path_parts(F.col("n")), "db")], text.path_join(F.col("n"), F.lit("z")).alias("j"))
+    assert {r["n"]: (r["d"], r["b"]) for r in got.collect()} == parts
+    assert {r["n"]: r["j"] for r in got.collect()}["a/"] == "a/z"
+
+
+def test_forms_of_large_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.functions import text
+
+    rows = spark.createDataFrame([(0,), (99,), (100,), (1023,), (1536,), ((1 << 63) - 1,)], "n long")
+    got = rows.select(text.human_size(F.col("n")).alias("h"), text.grouped(F.col("n")).alias("g"), text.exponent_form(F.col("n")).alias("e")).collect()
+    assert [r["h"] for r in got] == ["0 B", "99 B", "100 B", "1023 B", "1.5 KiB", "8191.9 PiB"]
+    assert [r["g"] for r in got][-1] == "9,223,372,036,854,775,807" and [r["e"] for r in got] == ["0", "99", "1.00e2", "1.02e3", "1.53e3", "9.22e18"]
+
+
+def test_inner_code_parameters():
+    from brindle.functions import rs
+
+    for size in (1, 40, 300, 10**6):
+        n, k = rs.solve(size, percent=10)
+        assert n <= 255 and (n - k) % 2 == 0 and n - k >= 2 and rs.problem(rs.Code(n, k)) is None
+    assert rs.solve(10**6, t=16) == (255, 223) and rs.solve(100, t=4) == (108, 100)
+    code = rs.Code()
+    depth = rs.depth_for(code, 1 << 30, burst=1000)
+    assert code.burst(depth) >= 1000 > code.burst(depth - 1)
+    assert rs.depth_for(code, 4096, burst=10**6) == 1 or 2 * rs.depth_for(code, 4096, burst=10**6) * code.n <= 1024
+    assert [rs.problem(rs.Code(256, 200)), rs.problem(rs.Code(255, 222)), rs.problem(rs.Code(255, 223, 1, 5)), rs.problem(code, 0)] == ["n", "odd parity", "step", "depth"]
+    data = bytes(range(256)) * 5
+    assert rs.plain(rs.encode_frames(data, code, 2), len(data), code, 2) == data

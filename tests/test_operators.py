@@ -175,3 +175,29 @@ def test_a_third_generation_inherits_from_the_first(spark, tmp_path):
     g = {r["generation"]: (r["stream_base"], r["stream_length"], r["linked"]) for r in sets.generations(spark, path).collect()}
     assert g == {0: (0, 8, True), 1: (8, 2, True), 2: (10, 4, True)}
     assert sets.lineage_of(spark, path).count() == 6
+
+
+def test_undo(spark, tmp_path):
+    from brindle.operators import undo
+
+    before = spark.createDataFrame([("a", bytearray(b"old bytes")), ("b", bytearray(b"xy")), ("n", None)], "name string, content binary")
+    writes = spark.createDataFrame([("a", 0, 3), ("a", 4, 9), ("b", 1, 5), ("new", 0, 2)], "name string, begin long, end long")
+    after = spark.createDataFrame([("a", bytearray(b"NEW BYTES")), ("b", bytearray(b"xYYYY")), ("n", None), ("new", bytearray(b"zz"))], "name string, content binary")
+    path = str(tmp_path / "j")
+    assert undo.status(spark, path) == "not-found"
+    rows = undo.records(before, writes)
+    undo.write(spark, path, "s", rows)
+    got = undo.replay(after, undo.scan(spark, path, "s", after))
+    assert {r["name"]: r["content"] and bytes(r["content"]) for r in got.collect()} == {"a": b"old bytes", "b": b"xy", "n": None}
+    with pytest.raises(ValueError, match="another set"):
+        undo.scan(spark, path, "t", after)
+    with pytest.raises(ValueError, match="outside"):
+        undo.scan(spark, path, "s", before)
+    # a torn journal, and one whose bytes changed after their checksum
+    rows.write.parquet(str(tmp_path / "torn" / "records"))
+    assert undo.status(spark, str(tmp_path / "torn")) == "incomplete"
+    undo.write(spark, str(tmp_path / "bad"), "s", rows.withColumn("old", F.overlay("old", F.lit(b"?"), F.lit(1), F.lit(1))))
+    with pytest.raises(ValueError, match="verify"):
+        undo.scan(spark, str(tmp_path / "bad"), "s", after)
+    undo.write(spark, str(tmp_path / "empty"), "s", rows.limit(0))
+    assert undo.replay(after, undo.scan(spark, str(tmp_path / "empty"), "s", after)).count() == 4
