@@ -427,7 +427,7 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- generations from a stream
 
 
-@query("stream_generations", "SELECT doc_id % 2 AS generation, sum(strlen(text))::BIGINT AS stream_length FROM documents GROUP BY 1")
+@query("stream_generations", "SELECT (doc_id % 2)::INTEGER AS generation, sum(strlen(text))::BIGINT AS stream_length FROM documents GROUP BY 1")
 def stream_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files of a stream of entries, each of which becomes a generation."""
     base = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
