@@ -90,11 +90,14 @@ def size_bytes(text: Column) -> Column:
     return F.when(ok, F.floor(F.concat(number, fraction).cast("decimal(18,6)") * scale).cast("long"))
 
 
-def human_size(n: Column) -> Column:
-    """Truncated to one decimal: 1536 is 1.5 KiB."""
+UNITS = ("KiB", "MiB", "GiB", "TiB", "PiB")
+
+
+def human_size(n: Column, largest: str = UNITS[-1]) -> Column:
+    """Truncated to one decimal: 1536 is 1.5 KiB. Whatever is larger than `largest` is given in it."""
     n = n.cast("long")
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
+    for i, unit in enumerate(UNITS[: UNITS.index(largest) + 1], 1):
         tenth = F.shiftright(n.bitwiseAND(F.lit(1024**i - 1)) * 10, 10 * i)
         shown = F.concat(F.shiftright(n, 10 * i).cast("string"), F.lit("."), tenth.cast("string"), F.lit(f" {unit}"))
         out = F.when(n >= 1024**i, shown).otherwise(out)

@@ -729,7 +729,7 @@ SELECT p_partkey, CASE WHEN n >= 1099511627776 THEN (n * 10 // 1099511627776) //
  WHEN n >= 1024 THEN (n * 10 // 1024) // 10 || '.' || (n * 10 // 1024) % 10 || ' KiB' ELSE n || ' B' END AS size FROM n""")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", text.human_size(k * k * F.col("p_size") * 50).alias("size"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.human_size(k * k * F.col("p_size") * 50, "TiB").alias("size"))
 
 
 @query("list_entries", f"WITH {E_SQL} SELECT name, 'f' AS letter, lpad(printf('%o', (doc_id * 37) % 4096), 4, '0') AS mode, CASE WHEN (doc_id * 37) % 4096 & 73 <> 0 THEN 1 ELSE 0 END + CASE WHEN (doc_id * 37) % 4096 & 3072 <> 0 THEN 2 ELSE 0 END AS attrs, string_split(name, '/')[-1] AS base FROM E")

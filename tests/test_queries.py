@@ -12,6 +12,15 @@ def test_query_matches_sql(spark, duck, same, name):
     assert same(queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.ORACLES[name]).df())
 
 
+def test_sizes_beyond_a_pebibyte_match_sql(spark, same, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(0, 1), (31, 3), (671103, 50), (1199999, 50), (1199999, 1)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert same(queries.QUERIES["human_sizes"](spark, str(tmp_path)).toPandas(), c.sql(queries.ORACLES["human_sizes"]).df())
+
+
 def test_inner_code_finds_what_was_injected(spark):
     got = {r["errors"]: r for r in queries.QUERIES["inner_rs_scrub"](spark, SF).collect()}
     assert set(got) == {-1, *range(17)} and not any(r["wrong"] for r in got.values())
