@@ -23,6 +23,15 @@ def burst(data: bytes, count: int, start: int) -> bytes:
     return data[:start] + bytes(x ^ 0xFF for x in data[start : start + count]) + data[start + count :]
 
 
+def bursts(words: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """burst() of each of many words (words, n)."""
+    out, hurt = words.copy(), np.flatnonzero(counts)
+    at = np.arange(words.shape[1])
+    start = starts[hurt, None]
+    out[hurt] ^= np.where((at >= start) & (at < start + counts[hurt, None]), 0xFF, 0).astype(np.uint8)
+    return out
+
+
 def truncate(data: bytes, delta: int) -> bytes:
     return data[: max(0, len(data) - delta)]
 

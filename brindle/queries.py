@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import gf, rs, text
-from brindle.functions.digests import with_digest
+from brindle.functions.digests import together, with_digest
 from brindle.operators import chain, chunking, coding, damage, layout, packets, resync
 from brindle.operators.ordered import running_ordered
 from brindle.plans import planner
@@ -490,18 +490,16 @@ def inner_rs_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                frames = -(-len(data) // code.k)
-                if not frames:
-                    continue
-                words = rs.encode_many(np.frombuffer(data.ljust(frames * code.k, b"\0"), np.uint8).reshape(frames, code.k), code)
-                frame = np.arange(frames)
+            numbers, blobs = b.column(0).to_numpy(), [x or b"" for x in b.column(1).to_pylist()]
+            for lo, hi in together(blobs):
+                frames = np.array([-(-len(x) // code.k) for x in blobs[lo:hi]])
+                plain = b"".join(x.ljust(n * code.k, b"\0") for x, n in zip(blobs[lo:hi], frames.tolist()))
+                words = rs.encode_many(np.frombuffer(plain, np.uint8).reshape(-1, code.k), code)
+                number, frame = np.repeat(numbers[lo:hi], frames), np.arange(len(words)) - np.repeat(np.cumsum(frames) - frames, frames)
                 hurt = np.where((number + frame) % 8 == 0, (number * 31 + frame) % 19, 0)
-                seen = [damage.burst(w.tobytes(), int(n), (number + i) % 200) for i, (w, n) in enumerate(zip(words, hurt))]
-                bad = rs.syndromes(np.frombuffer(b"".join(seen), np.uint8).reshape(frames, code.n), code).any(axis=1)
-                out = [rs.correct(w, code) if x else (0, w) for w, x in zip(seen, bad.tolist())]
-                right = [e < 0 or fixed == w.tobytes() for (e, fixed), w in zip(out, words)]
-                yield pa.record_batch([pa.array([e for e, _ in out], pa.int64()), pa.array(right)], ["errors", "right"])
+                errors, fixed = rs.correct_many(damage.bursts(words, hurt, (number + frame) % 200), code)
+                right = (errors < 0) | (fixed == words).all(axis=1)
+                yield pa.record_batch([pa.array(errors, pa.int64()), pa.array(right)], ["errors", "right"])
 
     r = _entries(spark, sf_dir).select("ord", "content").mapInArrow(run, "errors long, right boolean")
     status = F.when(F.col("errors") < 0, "failed").when(F.col("errors") == 0, "clean").otherwise("corrected")

@@ -183,6 +183,39 @@ def test_forms_of_large_numbers(spark):
     assert [r["g"] for r in got][-1] == "9,223,372,036,854,775,807" and [r["e"] for r in got] == ["0", "99", "1.00e2", "1.02e3", "1.53e3", "9.22e18"]
 
 
+@pytest.mark.parametrize(("n", "k"), [(255, 223), (60, 40), (255, 253)])
+def test_many_words_are_corrected_as_one_by_one(n, k):
+    from brindle.functions import rs
+
+    rng, code = np.random.default_rng(n + k), rs.Code(n, k)
+    words = rs.encode_many(rng.integers(0, 256, (120, k), dtype=np.uint8), code)
+    assert all(w.tobytes() == rs.encode(w[:k].tobytes(), code) for w in words)
+    assert not rs.syndromes(words, code).any()
+    bad = words.copy()
+    for i, w in enumerate(bad):
+        w[rng.permutation(n)[: i % (code.t + 6)]] ^= rng.integers(1, 256, dtype=np.uint8)
+    errors, fixed = rs.correct_many(bad, code)
+    assert [(int(e), f.tobytes()) for e, f in zip(errors, fixed)] == [rs.correct(w.tobytes(), code) for w in bad]
+    assert rs.correct_many(bad[:0], code)[1].shape == (0, n)
+
+
+def test_scrub_of_many_words_takes_little_time():
+    """2,000 words with 9 errors: 20 ms each would be 40 seconds."""
+    import time
+
+    from brindle.functions import rs
+    from brindle.operators import damage
+
+    code = rs.Code()
+    words = rs.encode_many(np.random.default_rng(1).integers(0, 256, (2000, code.k), dtype=np.uint8), code)
+    starts = np.arange(2000) % 200
+    seen = damage.bursts(words, np.full(2000, 9), starts)
+    assert all(s.tobytes() == damage.burst(w.tobytes(), 9, int(a)) for w, s, a in zip(words, seen, starts))
+    began = time.process_time()
+    errors, fixed = rs.correct_many(seen, code)
+    assert time.process_time() - began < 10 and (errors == 9).all() and (fixed == words).all()
+
+
 def test_inner_code_parameters():
     from brindle.functions import rs
 
