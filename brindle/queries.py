@@ -14,7 +14,7 @@ from brindle.functions.digests import together, with_digest
 from brindle.operators import chain, chunking, coding, damage, layout, packets, resync
 from brindle.operators.ordered import running_ordered
 from brindle.plans import planner
-from brindle.sources.catalog import entries, named, shared_dir, staged, table
+from brindle.sources.catalog import contents, entries, named, shared_dir, staged, table
 from brindle.streaming.encode import encode_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -501,7 +501,7 @@ def inner_rs_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
                 right = (errors < 0) | (fixed == words).all(axis=1)
                 yield pa.record_batch([pa.array(errors, pa.int64()), pa.array(right)], ["errors", "right"])
 
-    r = _entries(spark, sf_dir).select("ord", "content").mapInArrow(run, "errors long, right boolean")
+    r = contents(_docs(spark, sf_dir)).mapInArrow(run, "errors long, right boolean")
     status = F.when(F.col("errors") < 0, "failed").when(F.col("errors") == 0, "clean").otherwise("corrected")
     return r.groupBy("errors").agg(F.count("*").alias("codewords"), F.sum(F.when(~F.col("right"), 1).otherwise(0)).alias("wrong")).withColumn("status", status)
 
@@ -645,11 +645,13 @@ def packet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(batches):
         for b in batches:
-            rows = [(n, packets.encode("FILE", b"brindle set id 0", d)) for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            rows = [(f"v{n:08d}", damage.burst(d, 1, 60) if n % 7 == 0 else d) for n, d in rows]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["volume", "content"])
+            numbers, blobs = b.column(0).to_pylist(), [x or b"" for x in b.column(1).to_pylist()]
+            for lo, hi in together(blobs):
+                rows = zip(numbers[lo:hi], packets.encode_many("FILE", b"brindle set id 0", blobs[lo:hi]))
+                rows = [(f"v{n:08d}", damage.burst(d, 1, 60) if n % 7 == 0 else d) for n, d in rows]
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["volume", "content"])
 
-    v = _entries(spark, sf_dir).select("ord", "content").mapInArrow(write, "volume string, content binary")
+    v = contents(_docs(spark, sf_dir)).mapInArrow(write, "volume string, content binary")
     return packets.read(v).groupBy("type", "ok").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
 
 

@@ -98,6 +98,36 @@ def test_chunks():
     assert chunking.cuts(b"", 4096) == []
 
 
+def test_many_packets_are_scanned_as_one_by_one():
+    """Several packets a volume, some damaged, cut off or with a false length; and 2,000 packets in little time."""
+    import time
+
+    rng = np.random.default_rng(5)
+    bodies = [DATA[: int(n)] for n in rng.integers(0, 3000, 60)]
+    made = packets.encode_many("FILE", b"s" * 16, bodies)
+    assert made == [packets.encode("FILE", b"s" * 16, b) for b in bodies]
+    volumes = [b"", b"junk" * 5, b"".join(made), b"".join(made[:9])[:-5], made[0] + packets.encode("FILE", b"s" * 16, b"".join(made[:5])) + made[1]]
+    volumes += [damage.burst(b"".join(made[i : i + 8]), 1, int(rng.integers(0, 8000))) for i in range(0, 50, 2)]
+    volumes += [damage.burst(volumes[4], 1, len(made[0]) + at) for at in (8, 15, 30, 60, 5000)]
+
+    def plainly(data, at=0):
+        while (at := data.find(packets.MAGIC, at)) >= 0:
+            if at % 8 or at + 48 > len(data):
+                at += 1
+                continue
+            n = int.from_bytes(data[at + 8 : at + 16], "little")
+            ok = 48 <= n and n % 8 == 0 and at + n <= len(data) and digests.blake3(data[at : at + 40] + data[at + 48 : at + n])[:8] == data[at + 40 : at + 48]
+            yield at, n, ok
+            at += n if ok else 8
+
+    got = packets.scan_many(volumes)
+    assert [[(p[0], p[4], p[5]) for p in v] for v in got] == [list(plainly(v)) for v in volumes]
+    assert len(got[2]) == 60 and any(not p[5] for v in got for p in v)
+    began = time.process_time()
+    many = packets.encode_many("FILE", b"s" * 16, [DATA[:1000]] * 2000)
+    assert all(v[0][5] for v in packets.scan_many(many)) and time.process_time() - began < 10
+
+
 def test_packets_round_trip():
     data = b"junk" * 2 + packets.encode("FILE", b"s" * 16, b"hello") + packets.encode("SETD", b"s" * 16, DATA[:100], key=None)
     got = list(packets.scan(data))

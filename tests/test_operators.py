@@ -201,3 +201,12 @@ def test_undo(spark, tmp_path):
         undo.scan(spark, str(tmp_path / "bad"), "s", after)
     undo.write(spark, str(tmp_path / "empty"), "s", rows.limit(0))
     assert undo.replay(after, undo.scan(spark, str(tmp_path / "empty"), "s", after)).count() == 4
+
+
+def test_contents_are_numbered_as_entries(spark):
+    docs = spark.createDataFrame([(i % 40, f"t{i}", "en", f"s{i % 3}") for i in range(120)] + [(7, "t7", "en", "s1"), (7, None, "en", "s1")], "doc_id long, text string, lang string, source string")
+    key = lambda d: sorted((r["ord"], bytes(r["content"] or b"")) for r in d.select("ord", "content").collect())
+    got, want = key(catalog.contents(docs)), key(catalog.entries(docs))
+    assert [x for x, _ in got] == list(range(122)) and sorted(x for _, x in got) == sorted(x for _, x in want)
+    some = docs.limit(40)
+    assert key(catalog.contents(some)) == key(catalog.entries(some))
