@@ -712,7 +712,7 @@ def resync_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries' blocks of 256 bytes located in the same entries after five bytes were put before them."""
     d = _docs(spark, sf_dir)
     e = named(d).select(F.col("doc_id").alias("ord"), "content").repartition("ord")  # votes don't take the order
-    probes = staged(resync.rolling(e, 256, 256).select(F.col("pos").alias("expected"), "crc"))
+    probes = staged(resync.unique(resync.rolling(e, 256, 256).select(F.col("pos").alias("expected"), "crc")))  # so copies' windows don't meet in a task
     # a hit lies within 64 bytes of where its probe is expected, and probes are at multiples of 256
     hits = resync.rolling(damage.inject(e, "insert", (0, 5, 1)), 256, near=(256, 64), known=resync.known_crcs(probes))
     return resync.dominant(resync.votes(hits, probes, 64))

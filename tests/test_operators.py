@@ -236,6 +236,9 @@ def test_votes_are_those_of_all_windows(spark):
                 want[pos - at[0]] = want.get(pos - at[0], 0) + 1
     assert {r["delta"]: r["votes"] for r in resync.votes(hits, probes, 6).collect()} == want and want[5] > 50
     assert hits.count() < 2 * len(blocks)
+    alone = resync.unique(probes)
+    fewer = resync.rolling(damage.inject(e, "insert", (0, 5, 1)), 16, near=(16, 6), known=resync.known_crcs(alone))
+    assert {r["delta"]: r["votes"] for r in resync.votes(fewer, alone, 6).collect()} == want and fewer.count() < hits.count()
 
 
 def test_windows_of_many_strings_take_little_time():
